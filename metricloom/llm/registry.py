@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from metricloom.llm import secrets
+from metricloom.llm import secrets, simhash
 
 QUERIES = {
+    "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
     "op10_secret_scan": secrets.op10_secret_scan,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -1,0 +1,93 @@
+import random
+
+import xxhash
+
+from metricloom.llm import simhash
+from metricloom.llm.components import connected_components
+from tests.llm.util import documents, words_of
+
+
+def brute_print(text):
+    w = [x.lower() for x in (text or "").encode().split()]
+    grams = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [b" ".join(w)] if w else []
+    h = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+    return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
+
+
+def brute_roots(nodes, linked):
+    root = {n: n for n in nodes}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in linked:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    return {n: find(n) for n in nodes}
+
+
+def cases():
+    rng = random.Random(5)
+    texts = [words_of(rng, rng.choice([1, 2, 3, 5, 40, 200])) for _ in range(60)]
+    base = words_of(rng, 300).split()
+    for _ in range(60):  # near copies of one text
+        copy = list(base)
+        for _ in range(rng.randrange(0, 9)):
+            copy[rng.randrange(len(copy))] = f"x{rng.randrange(99)}"
+        texts.append(" ".join(copy))
+    texts += texts[:20] + ["", None, " \t\n", "A B C", "a b c", "é à ü"] + [texts[3]] * 30
+    docs = list(enumerate(texts, 10))
+    rng.shuffle(docs)
+    return docs
+
+
+def test_fingerprints_and_components_match_brute_force(spark):
+    docs = cases()
+    fps = {d: brute_print(t) for d, t in docs}
+    ids = sorted(fps)
+    expected = brute_roots(ids, [(a, b) for a in ids for b in ids if a < b and (fps[a] ^ fps[b]).bit_count() <= 3])
+    got = {r.doc_id: r for r in simhash.simhash_classes(documents(spark, docs)).collect()}
+    assert {d: r.fingerprint for d, r in got.items()} == {d: f"{f:016x}" for d, f in fps.items()}
+    assert {d: r.component_id for d, r in got.items()} == expected
+
+
+def test_clustered_fingerprints_in_one_cell(spark):
+    rng = random.Random(2)
+    start = rng.getrandbits(64)
+    fps = {start ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(7))) for _ in range(700)} | {rng.getrandbits(64) for _ in range(100)}
+    pairs = [(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 3]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    frame = spark.createDataFrame([(signed(x),) for x in fps], "fp long")
+    expected = brute_roots(sorted(map(signed, fps)), [(signed(a), signed(b)) for a, b in pairs])
+    for most in (1 << 16, 8):  # 8: nearly all cells are crowded
+        links = simhash.near_links(frame, most=most) if most > 8 else simhash.near_links(frame.orderBy("fp").limit(40), most=2)
+        found = [(r.a, r.b) for r in links.collect()]
+        assert all(((a ^ b) & (1 << 64) - 1).bit_count() <= 3 for a, b in found)
+        nodes = sorted(map(signed, fps)) if most > 8 else [r.fp for r in frame.orderBy("fp").limit(40).collect()]
+        want = expected if most > 8 else brute_roots(nodes, [(a, b) for a in nodes for b in nodes if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 3])
+        assert brute_roots(nodes, found) == want
+        assert len(found) < 68 * len(nodes) * 8
+
+
+def test_components_of_chains_stars_and_nothing(spark):
+    rng = random.Random(1)
+    links = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(300)] + [(rng.randrange(3000, 3300), rng.randrange(3000, 3300)) for _ in range(200)]
+    rng.shuffle(links)
+    expected = {n: r for n, r in brute_roots(sorted({x for p in links for x in p}), links).items() if any(n in p and p[0] != p[1] for p in links)}
+    got = connected_components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert {r.node: r.root for r in got} == expected
+    assert len(got) == len(expected)
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_rows_without_id_or_text_and_extra_columns(spark):
+    docs = documents(spark, [(None, "a b c d"), (3, "a b c d"), (3, "a b c d"), (2, None), (1, "")]).selectExpr("*", "'x' as fp", "1 as component_id")
+    got = sorted((r.doc_id is None, r.doc_id, r.component_id) for r in simhash.simhash_classes(docs).collect())
+    assert [x[2] for x in got if x[1] == 3] == [3, 3]
+    assert [x[1:] for x in got if x[1] in (1, 2)] == [(1, 1), (2, 1)]
+    kept = simhash.keep_one(docs)
+    assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect()) == [(False, 1), (False, 3), (True, None)]
+    assert kept.columns == docs.columns
+    assert simhash.simhash_classes(docs.limit(0)).count() == 0
