@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from metricloom.llm import lm_score, mixing, secrets, simhash
+from metricloom.llm import decontam, langid, lm_score, mixing, secrets, simhash
 
 QUERIES = {
     "op1_lattice_score": lm_score.op1_lattice_score,
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
     "op3_mix_sources": mixing.op3_mix_sources,
+    "op5_language_id": langid.op5_language_id,
+    "op6_decontaminate": decontam.op6_decontaminate,
     "op10_secret_scan": secrets.op10_secret_scan,
 }
 ORACLE_SQL: dict[str, str] = {}
