@@ -55,7 +55,7 @@ def _grams(points: np.ndarray, q: int) -> np.ndarray:
 def banded_distance(item: np.ndarray, region: np.ndarray, band: int) -> tuple[int, int]:
     """Least edits between the item and any part of the region, and where that part ends. Only diagonals
     (place in the region less place in the item) from -band to the difference of the lengths plus band
-    are walked; within ``band`` edits that is all there is to see."""
+    are walked; within ``band`` edits that is all there is to see. More edits than that end the walk."""
     n, m, far = len(region), len(item), np.int32(1 << 20)
     last = max(0, n - m) + band
     d = np.arange(-band, last + 1)
@@ -72,6 +72,8 @@ def banded_distance(item: np.ndarray, region: np.ndarray, band: int) -> tuple[in
             new[band - i] = min(new[band - i], i)
         row = np.minimum.accumulate(new - steps) + steps
         row[d + i > n] = far
+        if not i % 16 and row.min() > band:
+            return band + 1, 0
     at = int(row.argmin())
     return int(row[at]), m + at - band
 
@@ -127,8 +129,11 @@ class Items:
         owner, where = self.owner[posting], np.repeat(at, many)
         diagonal = where - self.place[posting] + self.longest
         band = diagonal // (self.budget[owner] + 1)
-        # a place of the text counts once in a band, however often its q-gram stands in the item
-        bands, counts = np.unique(_distinct(owner * np.int64(1 << 32) + band, where), return_counts=True)
+        # places of the text and places of the item count once in a band: a text that repeats one q-gram of the
+        # item, or an item that repeats one of the text, has few of the other
+        code = owner * np.int64(1 << 32) + band
+        bands, counts = np.unique(_distinct(code, where), return_counts=True)
+        counts = np.minimum(counts, np.unique(_distinct(code, self.place[posting]), return_counts=True)[1])
         follows = np.append(bands[1:] == bands[:-1] + 1, False)
         both = counts + np.where(follows, np.append(counts[1:], 0), 0)
         lead = np.append(False, follows[:-1])  # the band before is there too: then that one's sum has this one

@@ -33,7 +33,7 @@ def fixture():
     for i in range(120):
         _, t = items[rng.randrange(25)]
         docs.append((100 + i, f"{prose(rng.randrange(20))} {edited(rng, t, rng.randrange(0, max(1, len(t) // 7)))}, {prose(rng.randrange(20))}"))
-    docs += [(500, None), (501, ""), (502, items[3][1].upper().replace(" ", "!! ")), (503, "x éé ünï ÇÀ-dürfen  WIR y"), (503, "zz ab cd"), (None, items[5][1])]
+    docs += [(499, "for " * 900 + items[2][1] + " for" * 50), (500, None), (501, ""), (502, items[3][1].upper().replace(" ", "!! ")), (503, "x éé ünï ÇÀ-dürfen  WIR y"), (503, "zz ab cd"), (None, items[5][1])]
     return items, docs
 
 
