@@ -182,13 +182,18 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return df.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def keep_identified(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``df``, with all their columns, that are not rejected."""
-    at, shared = df.columns.index(text_col), df.sparkSession.sparkContext.broadcast(model)
+def keep_identified(df: DataFrame, model: Model, text_col: str = "text", lang_col: str | None = None) -> DataFrame:
+    """The rows of ``df``, with all their columns, that are not rejected; ``lang_col``, if named, gets the prediction."""
+    at, put, shared = df.columns.index(text_col), df.columns.index(lang_col) if lang_col else None, df.sparkSession.sparkContext.broadcast(model)
+    out = arrow_schema(df.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([not shared.value.predict(x)[2] for x in batch.column(at).to_pylist()], pa.bool_()))
+            said = [shared.value.predict(x) for x in batch.column(at).to_pylist()]
+            columns = list(batch.columns)
+            if put is not None:
+                columns[put] = pa.array([x[0] for x in said], out.field(put).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=out).filter(pa.array([not x[2] for x in said], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 

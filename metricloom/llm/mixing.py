@@ -168,11 +168,12 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     return table.select("source", "n", "source_size", share.alias("target"))
 
 
-def mix_sources(df: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row for each row of ``df``: id, ``size``, ``source_size``, ``target``, ``copies`` and ``taken``
-    (copies times size)."""
+def mix_sources(df: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each row of ``df``: id, ``size``, ``source_size``, ``target``, ``copies``, ``taken`` (copies times
+    size) and the columns ``keep``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = stored(df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size")), "sizes")
+    docs = stored(df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), *(F.col(c).alias(f"kept{k}") for k, c in enumerate(keep))), "sizes")
+    kept = [f"kept{k}" for k in range(len(keep))]
     targets = source_targets(docs, weights, most)
     joined = docs.join(targets, docs["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -180,7 +181,7 @@ def mix_sources(df: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float
     spread = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "size", F.lit(seed))
     ready = joined.select(
         "doc_id", "source", "size", "source_size", "target", whole.alias("copies"), F.greatest(rate - whole, F.lit(0.0)).alias("p"),
-        spread.alias("spread"), F.col("doc_id").cast("string").alias("id_text"), F.ceil(F.col("n") / BLOCK).alias("blocks"),
+        spread.alias("spread"), F.col("doc_id").cast("string").alias("id_text"), F.ceil(F.col("n") / BLOCK).alias("blocks"), *kept,
     ).withColumn("block", F.expr("pmod(spread, blocks)"))
     largest = targets.agg(F.max("n")).first()[0] or 0
     blocks, settled = -(-largest // BLOCK), None
@@ -199,7 +200,15 @@ def mix_sources(df: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float
         ready = flown.where(open_p).withColumn("blocks", F.ceil(F.col("blocks") / width)).withColumn("block", F.floor(F.col("block") / width))
         blocks = -(-blocks // width)
     copies = F.col("copies") + F.round("p").cast("long")
-    return settled.select(F.col("doc_id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return settled.select(F.col("doc_id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *(F.col(k).alias(c) for k, c in zip(kept, keep, strict=True)))
+
+
+def take_mix(df: DataFrame, **options) -> DataFrame:
+    """The rows of ``df`` that the mix takes, with all their columns and ``size``, ``copies`` and ``taken``. ``df`` is
+    read from files: a row is known by its place there, so repeated and null ids do not matter."""
+    placed = df.withColumns({"__file": F.xxhash64("_metadata.file_path"), "__row": F.col("_metadata.row_index")})
+    taken = mix_sources(placed, keep=("__file", "__row"), **options).where("copies > 0").select("__file", "__row", "size", "copies", "taken")
+    return placed.drop("size", "copies", "taken").join(taken, ["__file", "__row"]).drop("__file", "__row")
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
