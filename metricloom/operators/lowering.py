@@ -4,7 +4,8 @@ into scans, turns outer joins that filters make inner into inner ones and picks
 from __future__ import annotations
 
 import operator
-from collections.abc import Iterable
+import re
+from collections.abc import Iterable, Sequence
 from functools import reduce
 from typing import TYPE_CHECKING, Any
 
@@ -14,12 +15,35 @@ from pyspark.sql import functions as F
 from metricloom.names import SUBQUERY, path_to_alias, quoted
 from metricloom.operators.filters import condition
 from metricloom.plans.evaluation import Evaluation, Input
+from metricloom.plans.joins import JoinStep
 from metricloom.plans.planner import QueryPlan, Segment, plan_query
 
 if TYPE_CHECKING:
     from metricloom.repository import Repository
 
 
+_PLAIN = re.compile(r"Column<'\w+\.\w+'>")
+_EQUAL = re.compile(r"=\((\w+)\.(\w+), (\w+)\.(\w+)\)")
+
+
+def equal_columns(on: Column, left: str, right: str) -> list[tuple[str, str]] | None:
+    """The pairs of columns, if the condition says only that columns of both models are equal; None for any
+    other condition, and wherever it can't be told."""
+    told = re.fullmatch(r"Column<'(.*)'>", str(on))
+    if not told:
+        return None
+    pairs, text, before = [], _EQUAL.sub("E", told[1]), None
+    while text != before:
+        before, text = text, text.replace("and(E, E)", "E")
+    if text != "E":
+        return None
+    for a, x, b, y in _EQUAL.findall(told[1]):
+        if {a, b} != {left, right}:
+            return None
+        pairs.append((quoted(a, x), quoted(b, y)) if a == left else (quoted(b, y), quoted(a, x)))
+    return pairs
+
+
 class Lowering:
     """One query's way to a DataFrame; filters get it as their context."""
 
@@ -83,31 +107,73 @@ class Lowering:
         rows = self._rows(s)
         keys = [path_to_alias(p) for p in s.segment_query.dimensions]
         if not aggregates:
-            return rows.select(*self._dimensions(s.segment_query.dimensions)).distinct()
-        narrow = rows.select(*self._dimensions(s.model_query.dimensions), *(i.column.alias(i.alias) for i in inputs))
+            return rows.select(*(c.alias(a) for a, c in self._dimensions(s.segment_query.dimensions))).distinct()
+        narrow = [*self._dimensions(s.model_query.dimensions), *((i.alias, i.column) for i in inputs)]
         if s.join_plan and s.join_plan.multiplies_rows and not plain:
-            narrow = narrow.distinct()
+            # a plain column that is there under several names is compared and shuffled once
+            first: dict[str, str] = {}
+            names = [(alias, first.setdefault(text if _PLAIN.fullmatch(text := str(column)) else alias, alias)) for alias, column in narrow]
+            once = rows.select(*(c.alias(a) for a, c in narrow if a in first.values())).distinct()
+            narrow = once.select(*(F.col(quoted(a)).alias(alias) for alias, a in names))
+        else:
+            narrow = rows.select(*(c.alias(a) for a, c in narrow))
         keys += [i.alias for i in inputs if i.key]
         grouped = narrow.groupBy(*(F.col(quoted(k)) for k in dict.fromkeys(keys))) if keys else narrow
         shown = [*map(path_to_alias, s.segment_query.members)]
         return grouped.agg(*aggregates).select(*(F.col(quoted(c)) for c in shown))
 
-    def _dimensions(self, paths: Iterable[str]) -> list[Column]:
+    def _dimensions(self, paths: Iterable[str]) -> list[tuple[str, Column]]:
         found = [self.repository.dimension(p) for p in paths]
-        return [self.evaluation.dimension(d).column.alias(d.alias) for d in found]
+        return [(d.alias, self.evaluation.dimension(d).column) for d in found]
 
     def _source(self, name: str) -> DataFrame:
         if name not in self._sources:
             self._sources[name] = self.repository.model(name).read(self.spark, self.context)
         return self._sources[name]
 
+    def _tree(self, root: str, steps: Sequence[JoinStep]) -> DataFrame:
+        """Models joined step by step. Where a step keeps the rows of its right model, and its condition is false
+        for nulls, all that hangs on that model is joined to it first: (a RIGHT b) then c is a RIGHT (b then c). So
+        a fact table is shuffled by its own keys, of which there are many, and not by those of small tables
+        beyond."""
+        df, whole, at = self._source(root), True, 0
+        while at < len(steps):
+            step = steps[at]
+            on = self.evaluation.condition(step.left, step.right)
+            at += 1
+            keys = equal_columns(on, step.left, step.right) if step.how == "right" else None
+            if keys is None:
+                df = df.join(self._source(step.right), on, step.how)
+                whole &= step.how == "left"
+                continue
+            inside, end = {step.right}, at
+            while end < len(steps) and steps[end].left in inside:
+                inside.add(steps[end].right)
+                end += 1
+            df = self._right(df, self._tree(step.right, steps[at:end]), on, keys, root if whole and step.left == root else None)
+            whole, at = False, end
+        return df
+
+    def _right(self, df: DataFrame, right: DataFrame, on: Column, keys: list[tuple[str, str]], root: str | None) -> DataFrame:
+        """A right outer join can't broadcast the side that it keeps. Where that side is small and the other one
+        is not, it is an inner join, which can, and the kept side's rows without partner, which are found
+        among the distinct keys of ``root``. Sizes are Spark's own estimates, held against its own threshold."""
+        if root is None or not self._is_small(right) or self._is_small(self._source(root)):
+            return df.join(right, on, "right")
+        found = self._source(root).select(*(F.col(a).alias(f"__key{k}") for k, (a, _) in enumerate(keys))).distinct()
+        alone = right.join(found, reduce(operator.and_, (F.col(b) == F.col(f"__key{k}") for k, (_, b) in enumerate(keys))), "left_anti")
+        nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields]
+        return df.join(right, on, "inner").unionAll(alone.select(*nulls, "*"))
+
+    def _is_small(self, df: DataFrame) -> bool:
+        limit = self.spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
+
     def _rows(self, s: Segment) -> DataFrame:
         """All models joined, with the values of referenced metrics, and filtered."""
         df = None
         if s.join_plan:
-            df = self._source(s.join_plan.initial)
-            for step in s.join_plan.steps:
-                df = df.join(self._source(step.right), self.evaluation.condition(step.left, step.right), step.how)
+            df = self._tree(s.join_plan.initial, s.join_plan.steps)
         if s.metric_refs:
             sub = self.query(s.metric_refs.plan, ordered=False).alias(SUBQUERY)
             if df is None:

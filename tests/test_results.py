@@ -257,3 +257,33 @@ def test_plans_push_filters_and_prune_columns(spark, tmp_path):
     assert text.count("Exchange hashpartitioning") == 1
     plain = b.build_query({"members": ["x.s", "x.v"]})._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<v:bigint,s:string>" in plain
+
+
+def test_large_side_of_a_right_join_is_not_shuffled_by_the_small_side_s_key(spark, tmp_path):
+    spark.range(20_000).selectExpr("id", "id % 7 as nation", "uuid() as pad").write.parquet(f"{tmp_path}/fact")
+    spark.createDataFrame([(k, f"n{k}") for k in (*range(6), 99, None)], "nation long, name string").write.parquet(f"{tmp_path}/nation")
+    fact = model("fact").from_files(f"{tmp_path}/fact").with_dimension("id", "number", primary_key=True).with_dimension("nation", "number").with_metric("n", "number", lambda m: F.count(m.column("id")))
+    n = model("nation").from_files(f"{tmp_path}/nation").with_dimension("nation", "number", primary_key=True).with_dimension("name", "string")
+    b = repository().with_model(n).with_model(fact).join_one_to_many("nation", "fact", equal("nation", "fact", "nation")).build(spark)
+    query = {"members": ["nation.name", "fact.n"], "order": [{"member": "nation.name", "direction": "asc"}]}
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    try:
+        df = b.build_query(query)
+        got = [tuple(r) for r in df.collect()]
+        text = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert got == [tuple(r) for r in b.build_query(query).collect()]
+    assert dict(got) == {**{f"n{k}": len(range(k, 20_000, 7)) for k in range(6)}, "n99": 0, "nNone": 0}
+    assert "BroadcastHashJoin" in text and "RightOuter" not in text
+
+
+def test_conditions_that_are_only_equalities(spark):
+    from metricloom.operators.lowering import equal_columns
+
+    a, b, c = F.col("`x`.`a`"), F.col("`y`.`b`"), F.col("`x`.`c`")
+    assert equal_columns(b == a, "x", "y") == [("`x`.`a`", "`y`.`b`")]
+    assert equal_columns((a == b) & (b == c) & (a == b), "x", "y") == [("`x`.`a`", "`y`.`b`"), ("`x`.`c`", "`y`.`b`"), ("`x`.`a`", "`y`.`b`")]
+    for other in (a == c, a > b, (a == b) | (c == b), F.coalesce(a, F.lit(0)) == b, a.eqNullSafe(b), (a == b) & (c > 1)):
+        assert equal_columns(other, "x", "y") is None
