@@ -7,14 +7,14 @@ from predictions as good as those that it will get, not from ones that know the
 
 A text is the set of its words (letters and digits in lower case), hashed to ``2 ** bits`` features.
 
-The models are fitted on a bounded sample of labelled rows: at most ``most`` of them, those with the
-least hash of id and text, of which half are kept for positives of the rarest category if it has so many. Only
-their word hashes reach the driver. Prediction is one pass over all whole texts without shuffle, with a
+The models are fitted on a bounded sample of labels: about ``most`` of them, by a hash of the id, of
+which half are kept for positives of the rarest category if it has so many. Only their texts' word
+hashes reach the driver. Prediction is one pass over all whole texts without shuffle, with a
 model of fixed size.
 
 Rows: a null or empty text has no word and gets what the models say of no words.
-Rows without any label don't train; a label that is null leaves the row out of that category's model
-alone. A category with labels of one kind only is constant. Repeated rows and ids and null ids are rows
+Labels without id or document don't train; a label that is null leaves the document out of that
+category's model alone. A category with labels of one kind only is constant. Repeated rows and ids and null ids are rows
 like others; of a document that is labelled repeatedly every label counts. Extra columns are ignored. An
 empty table gives an empty result.
 """
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from metricloom.llm.common import arrow_schema, documents
+from metricloom.llm.common import arrow_schema, ddl, documents
 
 BITS = 18
 _WORD = re.compile(r"[^\W_]+")
@@ -179,20 +179,23 @@ def best_cut(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
     return float(np.clip((p[order][k] + below) / 2, 0.2, 0.8))
 
 
-def sample_labelled(df: DataFrame, labels: dict[str, Column], most: int, bits: int, id_col: str, text_col: str):
-    """(sets, labels, hashes, weights) of the sample. Its size is the same whatever the table's."""
-    rank = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), text_col)
-    rows = df.select(F.col(text_col).alias("text"), rank.alias("rank"), *(c.cast("double").alias(f"y{j}") for j, c in enumerate(labels.values())))
-    rows = rows.where(F.greatest(*(F.coalesce(f"y{j}", F.lit(-1.0)) for j in range(len(labels))), F.lit(-1.0)) >= 0)
-    counts = rows.agg(F.count(F.lit(1)).alias("n"), *(F.sum(f"y{j}").alias(f"y{j}") for j in range(len(labels)))).first()
+def sample_labelled(df: DataFrame, known: DataFrame, labels: dict[str, Column], most: int, bits: int, id_col: str, text_col: str):
+    """(sets, labels, hashes, weights) of the sample. Its size is the same whatever the tables': ids are
+    picked among the labels first, and only these, a broadcast of bounded size, look for their texts."""
+    names = [f"y{j}" for j in range(len(labels))]
+    rows = known.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), *(c.cast("double").alias(y) for y, c in zip(names, labels.values(), strict=True)))
+    rows = rows.where(F.greatest(*(F.coalesce(y, F.lit(-1.0)) for y in names), F.lit(-1.0)) >= 0)
+    counts = rows.agg(F.count(F.lit(1)).alias("n"), *(F.sum(y).alias(y) for y in names)).first()
     if not counts.n:
         return [], np.zeros((0, len(labels))), np.zeros(0, np.int64), np.zeros(0)
-    rare = min(range(len(labels)), key=lambda j: counts[f"y{j}"] or float("inf"))
-    positive = F.coalesce(F.col(f"y{rare}"), F.lit(0.0)) > 0
-    n_yes = int(counts[f"y{rare}"] or 0)
+    rare = min(range(len(labels)), key=lambda j: counts[names[j]] or float("inf"))
+    n_yes = int(counts[names[rare]] or 0)
     shares = [min(1.0, (most - most // 2) / max(1, counts.n - n_yes)), min(1.0, most // 2 / max(1, n_yes))]  # expected sizes; hashes spread evenly
-    picked = (F.col("rank") / F.lit(2.0**64) + 0.5) < F.when(positive, shares[1]).otherwise(shares[0])
-    schema = T.StructType([T.StructField("rank", T.LongType()), *(T.StructField(f"y{j}", T.DoubleType()) for j in range(len(labels))), T.StructField("set", T.ArrayType(T.IntegerType()))])
+    rank = F.xxhash64(F.col("id").cast("string"))
+    picked = (rank / F.lit(2.0**64) + 0.5) < F.when(F.coalesce(F.col(names[rare]), F.lit(0.0)) > 0, shares[1]).otherwise(shares[0])
+    chosen = F.broadcast(rows.where(picked))
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select("text", rank.alias("rank"), F.xxhash64("text").alias("h"), *names)
+    schema = T.StructType([*ddl("rank bigint, h bigint"), *(T.StructField(y, T.DoubleType()) for y in names), *ddl("set array<int>")])
     out = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,16 +203,17 @@ def sample_labelled(df: DataFrame, labels: dict[str, Column], most: int, bits: i
             sets = pa.array([features(t, bits) for t in batch.column(0).to_pylist()], out.field("set").type)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], sets], schema=out)
 
-    table = rows.where(picked).mapInArrow(run, schema).toArrow().sort_by("rank")
-    y = np.column_stack([table[f"y{j}"].to_numpy() for j in range(len(labels))]) if len(table) else np.zeros((0, len(labels)))
+    table = texts.mapInArrow(run, schema).toArrow().sort_by([(c, "ascending") for c in ("rank", "h", *names)])
+    y = np.column_stack([table[c].to_numpy() for c in names]) if len(table) else np.zeros((0, len(labels)))
     weight = np.where(np.nan_to_num(y[:, rare]) > 0, 1 / shares[1], 1 / shares[0])
     sets = [s.values.to_numpy() for s in table["set"]]
     return sets, y, table["rank"].to_numpy(), weight
 
 
-def train(df: DataFrame, labels: dict[str, Column], most: int = 12_000, folds: int = 5, ridge: float = 3.0, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> Chain:
-    """A chain over ``labels`` (category to a column of 0, 1 or null), in this order."""
-    sets, y, rank, weight = sample_labelled(df, labels, most, bits, id_col, text_col)
+def train(df: DataFrame, known: DataFrame, labels: dict[str, Column], most: int = 12_000, folds: int = 5, ridge: float = 3.0, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> Chain:
+    """A chain over ``labels`` (category to a column of ``known``: 0, 1 or null), in this order; ``known`` has the
+    id of a document in each row."""
+    sets, y, _, weight = sample_labelled(df, known, labels, most, bits, id_col, text_col)
     fold = np.array([zlib.crc32(s.tobytes()) % folds for s in sets], np.int64)  # equal texts share a fold
     if len(weight):
         weight = weight / weight.min()
@@ -237,7 +241,6 @@ def classify(df: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str
 def op9_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the chain low quality, toxic."""
     docs = documents(spark, sf_dir)
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality", "toxic")
-    known = docs.select("doc_id", "text").join(labels, "doc_id")
-    chain = train(known, {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")})
+    known = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    chain = train(docs, known, {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")})
     return classify(docs, chain).select("doc_id", "p_low_quality", "p_toxic", "low_quality", "toxic")

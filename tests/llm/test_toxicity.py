@@ -41,7 +41,7 @@ def test_chain_on_held_out_texts(spark):
     rng = random.Random(2)
     rows = table(rng, 900)
     df = spark.createDataFrame(rows, "doc_id bigint, text string, insult int, threat int").selectExpr("*", "1 as rank", "2 as set", "3 as y0")
-    chain = toxicity.train(df.where("doc_id % 3 > 0"), {"insult": F.col("insult"), "threat": F.col("threat")}, bits=14)
+    chain = toxicity.train(df, df.where("doc_id % 3 > 0"), {"insult": F.col("insult"), "threat": F.col("threat")}, bits=14)
     assert chain.categories == ["insult", "threat"] and len(chain.weights[1]) == len(chain.weights[0]) + 1
     assert chain.weights[1][1 << 14] > 0  # the second model listens to the first
     got = {r.doc_id: r for r in toxicity.classify(df, chain).collect()}
@@ -50,14 +50,14 @@ def test_chain_on_held_out_texts(spark):
         said = [(got[r[0]][name], bool(r[k])) for r in held]
         both = sum(a and b for a, b in said)
         assert both >= share * sum(a for a, _ in said) and both >= share * sum(b for _, b in said)
-    again = toxicity.train(df.where("doc_id % 3 > 0").repartition(7), {"insult": F.col("insult"), "threat": F.col("threat")}, bits=14)
+    again = toxicity.train(df.repartition(7), df.where("doc_id % 3 > 0"), {"insult": F.col("insult"), "threat": F.col("threat")}, bits=14)
     assert all((a == b).all() for a, b in zip(chain.weights, again.weights, strict=True))
 
 
 def test_sample_is_bounded_and_weighted(spark):
     rows = table(random.Random(3), 2000)
     df = spark.createDataFrame(rows, "doc_id bigint, text string, insult int, threat int")
-    sets, y, _, weight = toxicity.sample_labelled(df, {"insult": F.col("insult"), "threat": F.col("threat")}, 400, 12, "doc_id", "text")
+    sets, y, _, weight = toxicity.sample_labelled(df, df, {"insult": F.col("insult"), "threat": F.col("threat")}, 400, 12, "doc_id", "text")
     assert 300 < len(sets) < 500
     assert abs(weight.sum() / 2000 - 1) < 0.15 and y[:, 1].sum() > 0.6 * min(200, sum(r[3] for r in rows))
 
@@ -65,9 +65,9 @@ def test_sample_is_bounded_and_weighted(spark):
 def test_odd_rows_and_nothing_to_learn(spark):
     labels = {"a": F.col("n_chars") * 0, "b": F.lit(None).cast("int")}
     df = documents(spark, [(None, "x y"), (2, None), (2, ""), (3, "y")])
-    got = toxicity.classify(df, toxicity.train(df, labels, bits=8)).collect()
+    got = toxicity.classify(df, toxicity.train(df, df, labels, bits=8)).collect()
     assert len(got) == 4 and not any(r.a or r.b for r in got)
     empty = df.limit(0)
-    chain = toxicity.train(empty, labels, bits=8)
+    chain = toxicity.train(empty, empty, labels, bits=8)
     assert toxicity.classify(empty, chain).count() == 0
     assert not any(r.a for r in toxicity.classify(df, chain).collect())
