@@ -127,34 +127,27 @@ def train_chain(sets: list[np.ndarray], labels: np.ndarray, fold: np.ndarray, we
     used = used[many >= least]  # features of few texts have weight 0
     number = np.full(1 << bits, -1, np.int64)
     number[used] = np.arange(len(used))
-    sets, size = [(x := number[s])[x >= 0] for s in sets], len(used)
-    rows = {None: Rows(sets, size)}
-    parts = {f: np.flatnonzero(fold == f) for f in range(folds)}
-
-    def of(places: np.ndarray, key) -> Rows:
-        if key not in rows:
-            rows[key] = Rows([sets[i] for i in places], size)
-        return rows[key]
-
-    def model(places: np.ndarray, key, y: np.ndarray, dense: np.ndarray) -> np.ndarray:
-        told = ~np.isnan(y[places])
-        kinds = np.unique(y[places][told])
+    size = len(used)
+    rows = Rows([(x := number[s])[x >= 0] for s in sets], size)
+
+    def model(own: np.ndarray, y: np.ndarray, dense: np.ndarray) -> np.ndarray:
+        told = own & ~np.isnan(y)
+        kinds = np.unique(y[told])
         if len(kinds) < 2:  # constant
             w = np.zeros(size + dense.shape[1])
             w[-1] = (20.0 if kinds[0] else -20.0) if len(kinds) else -20.0
             return w
-        return fit(of(places, key), dense[places], np.where(told, y[places], 0.0), weight[places] * told, ridge)
+        return fit(rows, dense, np.where(told, y, 0.0), weight * told, ridge)
 
-    everything = np.arange(n)
     for j, name in enumerate(categories):
         y, dense = labels[:, j], np.column_stack([_odds(out_of_fold), np.ones(n)])
         found = np.zeros(n)
-        for f, held in parts.items():
-            if len(held):
-                w = model(np.flatnonzero(fold != f), f, y, dense)
-                found[held] = 1 / (1 + np.exp(-np.clip(of(held, ("held", f)).dot(w, dense[held]), -50, 50)))
+        for f in range(folds):
+            if (held := fold == f).any():
+                z = rows.dot(model(~held, y, dense), dense)
+                found[held] = 1 / (1 + np.exp(-np.clip(z[held], -50, 50)))
         chain.categories.append(name)
-        w = model(everything, None, y, dense)
+        w = model(np.ones(n, bool), y, dense)
         whole = np.zeros((1 << bits) + dense.shape[1])
         whole[used], whole[1 << bits :] = w[:size], w[size:]
         chain.weights.append(whole)
