@@ -6,13 +6,16 @@ the spots. Two fingerprints are compared by Jaccard likeness.
 
 Near-duplicates (:func:`spot_classes`): a pair of sets with likeness ``least`` or more has lengths whose
 ratio is at least that, so sets are dealt to ranges of lengths of which such a pair shares one or
-touches two neighbours. In a range they meet by their rarest spots only (the prefix), and the
-comparison of two sets ends as soon as the spots still to come can't reach the bound.
+touches two neighbours. In a range, sets meet in a cell for each of their rarest spots (the prefix: of such
+a pair at least one is the same). A cell links what it holds by a spanning forest, with likeness computed
+only where lengths allow it: a set that has been reached is not compared again.
 
-Scale: equal sets are one row from the start. A meeting place links what it holds by a spanning forest:
-a set that has been reached is not compared again. Each text is shuffled once, by ranges of ids, so that
-neighbours meet; the first text of a range also goes to the range before it. The ranges' bounds, eight
-bytes for about a thousand rows, are all that the driver sees.
+Scale: each text is shuffled once, by ranges of ids, so that neighbours meet; the first text of a range
+also goes to the range before it. The ranges' bounds, eight bytes for about a thousand rows, are all that
+the driver sees. For classes, equal sets are one row from the start; a set goes to as many cells as its
+prefix is long, a fifth of its spots at 0.8; a cell with more than ``most`` spots is dealt to pairs of its
+blocks, so that no task has to hold a whole cell. Only spots of at least a millionth of all, at most a
+million of them, are known to all tasks as frequent.
 
 Rows: null and empty texts have no spot and the empty fingerprint; two such are alike (1.0), and one of
 them is unlike any other (0.0). Null ids come first; of rows with one id the hash of the text tells the
@@ -167,5 +170,138 @@ def with_neighbours(df: DataFrame, make: Prints | None = None, id_col: str = "do
     return routed.sortWithinPartitions("range", "after", "id", "h").select("range", "after", "id", "text").mapInArrow(_neighbours(make, arrow_schema(schema)), schema)
 
 
+def fingerprint_sets(df: DataFrame, make: Prints | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id``, ``spots`` (the sorted 32-bit hashes, little-endian) and ``n`` of each row."""
+    make = make or Prints()
+    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), *ddl("spots binary, n int")])
+    out = arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [make(x) for x in blobs(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int32())], schema=out)
+
+    return df.select(id_col, text_col).mapInArrow(run, schema)
+
+
+def _count_spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets to (spot, sets with it), summed in batches."""
+    for batch in batches:
+        spot, n = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint32), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(spot.astype(np.int64)), pa.array(n)], names=["spot", "n"])
+
+
+def length_ranges(least: float, longest: int) -> np.ndarray:
+    """First length of each range."""
+    starts = [1]
+    while starts[-1] <= longest:
+        starts.append(int(starts[-1] / least + 1e-9) + 1)
+    return np.array(starts)
+
+
+def _to_cells(frequent, least: float, starts: np.ndarray):
+    """Sets (key, spots) to one row for each spot of their prefix and for their range of lengths and the next."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spots, counts = frequent.value
+        for batch in batches:
+            cells, rows = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+            for r, blob in enumerate(batch.column(1).to_pylist()):
+                x = np.frombuffer(blob, np.uint32)
+                at = np.searchsorted(spots, x)
+                at[at == len(spots)] = 0
+                known = counts[at] * (spots[at] == x) if len(spots) else np.zeros(len(x), np.int64)
+                prefix = x[np.lexsort((x, known))][: len(x) - int(np.ceil(least * len(x) - 1e-9)) + 1].astype(np.int64)
+                own = int(np.searchsorted(starts, len(x), side="right"))
+                cells += [prefix << 16 | own, prefix << 16 | own + 1]
+                rows.append(np.full(2 * len(prefix), r, np.int32))
+            take = pa.array(np.concatenate(rows))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells)), *(c.take(take) for c in batch.columns)], names=["cell", "key", "spots", "n"])
+
+    return run
+
+
+def set_forest(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Links (newly reached, reached from) that connect what pairs of likeness ``least`` connect."""
+    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
+    sizes = np.array([len(sets[i]) for i in order], np.int64)
+    bounds = np.append(0, np.cumsum(sizes))
+    spots = np.concatenate([np.zeros(0, np.uint32), *(sets[i] for i in order)])
+    owner = np.repeat(np.arange(len(order)), sizes)
+    waiting, out = np.ones(len(order), bool), []
+    for first in range(len(order)):
+        if not waiting[first]:
+            continue
+        waiting[first], todo = False, [first]
+        while todo:
+            k = todo.pop()
+            low, high = np.searchsorted(sizes, [least * sizes[k] - 1e-9, sizes[k] / least + 1e-9], side="left")
+            if not waiting[low:high].any():
+                continue
+            x, part = sets[order[k]], spots[bounds[low] : bounds[high]]
+            at = np.searchsorted(x, part)
+            at[at == len(x)] = 0
+            common = np.bincount(owner[bounds[low] : bounds[high]][x[at] == part] - low, minlength=high - low)
+            near = np.flatnonzero(waiting[low:high] & (common >= least * (sizes[k] + sizes[low:high] - common) - 1e-9)) + low
+            waiting[near] = False
+            out += [(order[i], order[k]) for i in near.tolist()]
+            todo += near.tolist()
+    return out
+
+
+def _link_groups(least: float):
+    """Rows (group, key, spots), sorted by group, to links (a, b) of keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, keys, sets = None, [], []
+
+        def told(found: list[tuple[str, str]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.string()) for k in range(2)], names=["a", "b"])
+
+        def links() -> list[tuple[str, str]]:
+            found = [(keys[i], keys[j]) for i, j in set_forest(sets, least)] if len(keys) > 1 else []
+            keys.clear()
+            sets.clear()
+            return found
+
+        for batch in batches:
+            found = []
+            for group, key, blob in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if group != now:
+                    found += links()
+                    now = group
+                keys.append(key)
+                sets.append(np.frombuffer(blob, np.uint32))
+            yield told(found)
+        yield told(links())
+
+    return run
+
+
+def spot_classes(df: DataFrame, make: Prints | None = None, least: float = 0.8, most: int = 1 << 22, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of ``df``: id and ``class_id``, the smallest id that links of likeness ``least`` reach.
+    Texts without spots are one class."""
+    if not 0 < least <= 1:
+        raise ValueError("the least likeness is above 0 and at most 1")
+    spark = df.sparkSession
+    docs = stored(fingerprint_sets(df, make, id_col, text_col).withColumn("key", F.md5("spots")), "spots")
+    each = stored(docs.groupBy("key").agg(F.min("id").alias("least_id"), F.any_value("spots").alias("spots"), F.any_value("n").alias("n")), "sets")
+    total, longest = each.agg(F.sum(F.col("n").cast("long")), F.max("n")).first()
+    limit = max(50, (total or 0) // 1_000_000)
+    counts = each.select("spots").mapInArrow(_count_spots, "spot bigint, n bigint").groupBy("spot").agg(F.sum("n").alias("n")).where(F.col("n") >= limit).toArrow().sort_by("spot")
+    frequent = spark.sparkContext.broadcast((counts["spot"].to_numpy().astype(np.uint32), counts["n"].to_numpy()))
+    cells = each.where("n > 0").select("key", "spots", "n").mapInArrow(_to_cells(frequent, least, length_ranges(least, longest or 0)), "cell bigint, key string, spots binary, n int")
+    sizes = cells.groupBy("cell").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    met = cells.join(sizes.select("cell", F.ceil(F.col("size") / most).cast("int").alias("blocks")), "cell").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    grouped = met.withColumn("other", other).select(F.xxhash64("cell", F.least("block", "other"), F.greatest("block", "other")).alias("group"), "key", "spots")
+    links = stored(grouped.repartition("group").sortWithinPartitions("group").mapInArrow(_link_groups(least), "a string, b string"), "spot-links")
+    roots = stored(connected_components(links).withColumnRenamed("node", "key"), "roots")
+    linked = roots.join(each.select("key", "least_id"), "key")
+    moved = linked.join(linked.groupBy("root").agg(F.min("least_id").alias("class_id")), "root").select("key", "class_id")
+    every = each.join(moved, "key", "left").select("key", F.coalesce("class_id", "least_id").alias("class_id"))
+    return docs.select("id", "key").join(every, "key").select(F.col("id").alias(id_col), "class_id")
+
+
 def op8_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_neighbours(documents(spark, sf_dir))

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 from metricloom.llm import spotsigs
+from tests.llm.test_simhash import brute_roots
 from tests.llm.util import documents, words_of
 
 ANCHORS = set(spotsigs.ANCHORS)
@@ -71,3 +72,40 @@ def test_likeness_prunes_without_losing(spark):
             want = jaccard(set(a.tolist()), set(b.tolist()))
             assert abs(spotsigs.likeness(a, b) - want) < 1e-9
             assert abs(spotsigs.likeness(a, b, 0.8) - (want if want >= 0.8 else 0)) < 1e-9
+
+
+def edited(rng, text, share):
+    return " ".join(f"x{rng.randrange(999)}" if rng.random() < share else w for w in text.split())
+
+
+def test_classes_match_brute_force(spark):
+    rng = random.Random(21)
+    texts = [prose(rng, rng.choice([3, 8, 30, 120])) for _ in range(50)]
+    for base in (prose(rng, 200), prose(rng, 60), "the w1 of w2 und w3"):
+        texts += [edited(rng, base, rng.uniform(0, 0.12)) for _ in range(40)]
+    texts += [t + " " + prose(rng, 6) for t in texts[:30]] + texts[:15] + ["", None, " "]
+    docs = [(3 * i + 1, t) for i, t in enumerate(texts)]
+    rng.shuffle(docs)
+    make = spotsigs.Prints()
+    sets = {d: set(make((t or "").encode()).tolist()) for d, t in docs}
+    ids = sorted(sets)
+    want = brute_roots(ids, [(a, b) for a in ids for b in ids if a < b and jaccard(sets[a], sets[b]) >= 0.8])
+    assert 40 < len(set(want.values())) < len(ids) - 60
+    df = documents(spark, docs).selectExpr("*", "1 as key", "2 as class_id", "3 as n")
+    for most in (1 << 22, 300):  # 300: cells are dealt to pairs of blocks
+        got = spotsigs.spot_classes(df, most=most).collect()
+        assert {r.doc_id: r.class_id for r in got} == want and len(got) == len(docs)
+    assert spotsigs.spot_classes(df.limit(0)).count() == 0
+
+
+def test_forest_connects_what_pairs_do():
+    rng = random.Random(2)
+    import numpy as np
+
+    for least in (0.5, 0.8, 1.0):
+        base = [sorted(rng.sample(range(60), rng.randrange(5, 30))) for _ in range(8)]
+        sets = [np.array(sorted({x if rng.random() > 0.1 else rng.randrange(60) for x in b}), np.uint32) for b in base * 6]
+        near = [(i, j) for i in range(len(sets)) for j in range(i) if jaccard(set(sets[i].tolist()), set(sets[j].tolist())) >= least]
+        found = spotsigs.set_forest(sets, least)
+        assert brute_roots(range(len(sets)), found) == brute_roots(range(len(sets)), near)
+        assert all(tuple(sorted(p, reverse=True)) in set(near) for p in found) and len(found) < len(sets)
