@@ -181,7 +181,8 @@ def simhash_classes(df: DataFrame, shingle: int = 3, distance: int = 3, seed: in
     linked = roots.join(each, "fp")
     ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     moved = roots.join(ids, "root").select("fp", "component_id")
-    every = each.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # a table, so that the next join has a plain shuffle on both sides and Spark can split a frequent fingerprint
+    every = stored(each.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "components")
     return docs.join(every, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
