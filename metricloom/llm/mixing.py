@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from metricloom.llm.common import WORD, documents, stored
 
-BLOCK = 1 << 14
+BLOCK = 1 << 12
 
 
 EPS = 1e-9
