@@ -9,7 +9,7 @@ leaves 16 asks of 32 on average. What meets in a table's cell is verified over a
 Scale: equal fingerprints are one row from the start, so exact copies never meet. A cell gives at most
 one link for each of its members (a spanning forest), never all its pairs. Cells are read as a sorted
 stream; one with more than ``most`` fingerprints is not gathered but handed to :func:`_by_masks`, which
-is exact, linear in its rows and builds no pairs.
+is exact and builds no pairs, but makes 41,664 rows of each fingerprint at distance 3.
 
 Rows: null and empty texts have the fingerprint zero, which links like any other; a text shorter than a
 shingle is one shingle. Repeated rows and ids stay, null ids too (they are never a component's id, but
