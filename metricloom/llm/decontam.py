@@ -7,8 +7,9 @@ neighbouring bands overlap every possible region. Regions that reach the bound a
 alignment within the band. An occurrence is an item whole, within ``rate`` of its length in edits
 (fewer for short items: k is at most m / q - 1, so that the bound is at least 1).
 
-The items are the stated query set: they are broadcast in blocks of ``block`` characters, each block
-against all texts, so that memory does not depend on their number. Texts are read in windows that
+The items are the stated query set. They are broadcast in blocks of ``block`` characters, one block at a
+time against all texts: with more than one block, each pass is written to the shared folder before the
+next, so that neither the driver nor a task ever holds more than one. Texts are read in windows that
 overlap by the longest item; there is no shuffle, and no row depends on another.
 
 Rows: null and empty texts are clean; null and empty items, and those without a letter or digit, occur
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from metricloom.llm.common import arrow_schema, ddl, documents
+from metricloom.llm.common import arrow_schema, ddl, documents, stored
 
 _WORD = re.compile(r"[^\W_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -200,46 +201,55 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, block: int) -> Iterato
         yield held
 
 
-def _all_leaks(shared, text: str | None) -> list[tuple[int, int, int, int]]:
+def _leaks_in(items: Items, text: str | None) -> list[tuple[int, int, int, int]]:
     """(item id, start, end, edits) in code points of the text."""
-    low, out = reduced(text), []
-    for items in shared:
-        if found := items.value.search(low):
-            spans = original_spans(text, [(s, e) for _, s, e, _ in found])
-            out += [(items.value.items[k][0], *span, edits) for (k, _, _, edits), span in zip(found, spans, strict=True)]
-    return sorted(out, key=lambda x: (x[1], x[0] is None, x[0], x[2]))
+    if not (found := items.search(reduced(text))):
+        return []
+    spans = original_spans(text, [(s, e) for _, s, e, _ in found])
+    return [(items.items[k][0], *span, edits) for (k, _, _, edits), span in zip(found, spans, strict=True)]
 
 
-def _shared(df: DataFrame, items: DataFrame, item_id: str, item_text: str, q: int, rate: float, block: int):
-    sc = df.sparkSession.sparkContext
-    return [sc.broadcast(Items(x, q, rate)) for x in _blocks(items, item_id, item_text, block)]
+def _passes(df: DataFrame, items: DataFrame, item_id: str, item_text: str, q: int, rate: float, block: int, step) -> DataFrame:
+    """``step(df, items of a block)`` for one block after the other; without items for an empty block."""
+    sc, first = df.sparkSession.sparkContext, True
+    for held in _blocks(items, item_id, item_text, block):
+        df, first = step(df if first else stored(df, "decontaminated"), sc.broadcast(Items(held, q, rate))), False
+    return step(df, sc.broadcast(Items([], q, rate))) if first else df
 
 
 def find_leaks(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", q: int = 8, rate: float = 0.1, block: int = 4_000_000) -> DataFrame:
     """One row for each row of ``df``: id and ``leaks`` (item_id, start, end, distance), by start."""
-    shared = _shared(df, items, item_id, item_text, q, rate, block)
-    schema = T.StructType([df.schema[id_col], *ddl(f"leaks {LEAKS}")])
-    out = arrow_schema(schema)
-    names = ("item_id", "start", "end", "distance")
+    schema = T.StructType([df.schema[id_col], T.StructField("__text", T.StringType()), *ddl(f"leaks {LEAKS}")])
+    out, names = arrow_schema(schema), ("item_id", "start", "end", "distance")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            leaks = [[dict(zip(names, x, strict=True)) for x in _all_leaks(shared, t)] for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(leaks, out.field(1).type)], schema=out)
+    def step(rows: DataFrame, shared) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                leaks = []
+                for text, before in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                    found = before + [dict(zip(names, x, strict=True)) for x in _leaks_in(shared.value, text)]
+                    leaks.append(sorted(found, key=lambda x: (x["start"], x["item_id"] is None, x["item_id"], x["end"])))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(leaks, out.field(2).type)], schema=out)
 
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+        return rows.mapInArrow(run, schema)
+
+    none = F.expr(f"cast(array() as {LEAKS})").alias("leaks")
+    return _passes(df.select(id_col, F.col(text_col).alias("__text"), none), items, item_id, item_text, q, rate, block, step).select(id_col, "leaks")
 
 
 def drop_leaks(df: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", q: int = 8, rate: float = 0.1, block: int = 4_000_000) -> DataFrame:
     """The rows of ``df``, with all their columns, in whose text no item occurs."""
-    shared, at = _shared(df, items, item_id, item_text, q, rate, block), df.columns.index(text_col)
+    at, schema = df.columns.index(text_col), df.schema
+
+    def step(rows: DataFrame, shared) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                clean = [not shared.value.search(reduced(t)) for t in batch.column(at).to_pylist()]
+                yield batch.filter(pa.array(clean, pa.bool_()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            clean = [not any(i.value.search(low) for i in shared) for low in map(reduced, batch.column(at).to_pylist())]
-            yield batch.filter(pa.array(clean, pa.bool_()))
+        return rows.mapInArrow(run, schema)
 
-    return df.mapInArrow(run, df.schema)
+    return _passes(df, items, item_id, item_text, q, rate, block, step)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
