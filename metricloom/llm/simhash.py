@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 
 from metricloom.llm.common import arrow_schema, blobs, documents, stored, words
 from metricloom.llm.components import connected_components
+from metricloom.llm.keeping import PLACE, firsts, one_of_each, placed
 
 CHUNK = 1 << 15
 
@@ -48,17 +49,17 @@ def fingerprint(blob: bytes, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * total > count, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(df: DataFrame, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col`` and ``fp``: the fingerprint as a long of the same 64 bits."""
-    schema = T.StructType([df.schema[id_col], T.StructField("fp", T.LongType())])
+def fingerprints(df: DataFrame, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``id_col``, ``fp`` (the fingerprint as a long of the same 64 bits) and the columns ``keep``."""
+    schema = T.StructType([df.schema[id_col], T.StructField("fp", T.LongType()), *(df.schema[c] for c in keep)])
     out = arrow_schema(schema)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(x, shingle, seed) for x in blobs(batch.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], schema=out)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), *batch.columns[2:]], schema=out)
 
-    return df.select(id_col, text_col).mapInArrow(make, schema)
+    return df.select(id_col, text_col, *keep).mapInArrow(make, schema)
 
 
 def forest(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -186,12 +187,14 @@ def simhash_classes(df: DataFrame, shingle: int = 3, distance: int = 3, seed: in
     return docs.join(every, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def keep_one(df: DataFrame, shingle: int = 3, distance: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", null_apart: bool = True) -> DataFrame:
     """The rows of ``df``, with all their columns, of which each group of near-duplicates keeps one: the
-    one with the smallest id (one of them, if several rows have it). Rows with a null id stay."""
-    kept = simhash_classes(df, id_col=id_col, text_col=text_col, **options).where(F.col(id_col) == F.col("component_id")).select(id_col)
-    one = df.join(kept, id_col, "left_semi").dropDuplicates([id_col])
-    return one.unionByName(df.where(F.col(id_col).isNull()))
+    one with the smallest id (the first of them in the files, if several rows have it). Of a group's rows with
+    a null id one stays too, or, without ``null_apart``, only if no row of the group has an id."""
+    own = placed(df)
+    docs = stored(fingerprints(own, shingle, seed, id_col, text_col, PLACE), "fingerprints")
+    each = stored(firsts(docs, "fp", id_col), "distinct")
+    return one_of_each(own, each, stored(connected_components(near_links(each.select("fp").distinct(), distance)), "roots"), "fp", null_apart)
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

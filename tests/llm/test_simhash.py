@@ -91,3 +91,15 @@ def test_rows_without_id_or_text_and_extra_columns(spark):
     assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect()) == [(False, 1), (False, 3), (True, None)]
     assert kept.columns == docs.columns
     assert simhash.simhash_classes(docs.limit(0)).count() == 0
+
+
+def test_keep_one_of_each_group_whatever_the_ids(spark, tmp_path):
+    rng = random.Random(4)
+    a, b, c, d = (words_of(rng, 40) for _ in range(4))
+    rows = [(5, a), (3, b), (5, b), (7, a[::-1]), (7, c), (None, d), (None, d), (None, d), (None, b), (None, None), (None, "")]
+    documents(spark, rows).coalesce(1).write.parquet(f"{tmp_path}/d")
+    for df in (spark.read.parquet(f"{tmp_path}/d"), documents(spark, rows)):
+        got = sorted((r.doc_id or 0, r.text or "") for r in simhash.keep_one(df, null_apart=False).collect())
+        assert got == sorted([(5, a), (3, b), (7, a[::-1]), (7, c), (0, d), (0, "")])
+        apart = sorted((r.doc_id or 0, r.text or "") for r in simhash.keep_one(df).collect())
+        assert apart == sorted([*got, (0, b)])
