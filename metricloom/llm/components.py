@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metricloom.llm.common import stored
+from metricloom.llm.common import release, stored
 
 
 def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -26,7 +26,8 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         # small star: the nodes at or below u, with u itself, move to the least of them
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
-        edges = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        last, edges = edges, stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        release(last)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.max("u")).first()
         if now == before:
             roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
