@@ -1,114 +1,182 @@
-"""Unigram pieces over all segmentations of a word, for many words at once.
+"""Subword pieces over all segmentations of a word, for many words at once.
 
-A word is the bytes of a space and the word; its lattice has an edge for every substring that is a
-piece. Every single byte is a piece, so each word has a segmentation.
+A word's lattice has an edge for every stretch of its bytes that is a piece. Pieces that open a word (in a
+vocabulary those with a space in front, and the space alone) are apart from pieces that go on within one,
+and each kind is normalised by itself; after a piece the word ends with the probability ``stop``, or goes on.
+Every byte that can stand in a word is a piece, so each word has a segmentation, and the probabilities of all
+words sum to 1.
 """
 
 from __future__ import annotations
 
+import math
+import os
 from collections.abc import Iterator
 
 import numpy as np
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-LONG = 512  # longer words are walked in windows of so many bytes
+LONG = 512  # longer words are walked one by one, in chunks of CHUNK places
+CHUNK = 1 << 16
+#: Bytes of words in lower case: neither white space nor A-Z.
+IN_WORDS = tuple(b for b in range(256) if b not in b" \t\n\x0b\x0c\r" and not 65 <= b <= 90)
 
 
 def load_pieces(path: str) -> list[tuple[bytes, float]]:
-    """Pieces of a sentencepiece model with their scores, for texts in lower case: those with A-Z or with
-    spaces inside can't occur. Bytes that no piece holds come last, with the least score."""
+    """Pieces of a sentencepiece model with their weights, for texts in lower case: those with A-Z or with white
+    space inside can't occur. The scores of a unigram model are logarithms of weights. Those of a byte-pair
+    model are ranks, whole numbers; a piece then weighs 1 / (rank + 3), as frequencies fall with ranks."""
     import sentencepiece
 
+    if not os.path.isfile(path):
+        raise FileNotFoundError(f"no vocabulary at {path!r}: name a sentencepiece model by the parameter `vocabulary`")
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     found: dict[bytes, float] = {}
     for i in range(model.get_piece_size()):
         if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)):
             piece = model.id_to_piece(i).replace("▁", " ").encode()
-            if piece == piece.lower() and not piece[1:].count(b" ") and model.get_score(i) > -1e8:
+            if piece == piece.lower() and not (set(piece[1:]) | set(piece[:1]) - {32}) & set(b" \t\n\x0b\x0c\r") and model.get_score(i) > -1e8:
                 found.setdefault(piece, model.get_score(i))
-    low = min(found.values(), default=0.0)
-    for b in range(256):
-        found.setdefault(bytes([b]), low - 1)
-    return list(found.items())
+    ranked = sorted(found, key=found.get, reverse=True)
+    if all(s == int(s) for s in found.values()):
+        return [(x, 1 / (k + 3)) for k, x in enumerate(ranked)]
+    return [(x, math.exp(found[x])) for x in ranked]
 
 
-class Lattice:
-    """Pieces by length as sorted hashes; their numbers are places in ``pieces``."""
+def _hash(piece: bytes) -> int:
+    h = 0
+    for b in piece:
+        h = (h * int(_BASE) + b + 1) & 0xFFFFFFFFFFFFFFFF
+    return h
+
 
-    def __init__(self, pieces: list[bytes]):
-        self.pieces = pieces
-        by: dict[int, list[tuple[int, int]]] = {}
-        powers = [np.uint64(1)]
+class Lattice:
+    """The log probabilities of pieces, by length as sorted hashes. ``pieces``: bytes and weight; a piece with a
+    space in front opens words. Bytes that no piece holds, and the space alone, weigh as little as the least."""
+
+    def __init__(self, pieces: list[tuple[bytes, float]], stop: float = 0.5):
+        least = min((w for _, w in pieces), default=1.0)
+        weights = dict(pieces)
+        for b in IN_WORDS:
+            weights.setdefault(bytes([b]), least)
+        weights.setdefault(b" ", least)
+        self.stop = math.log(stop)
+        self.opening = self._normal({x[1:]: w for x, w in weights.items() if x[:1] == b" "}, 0.0)
+        self.opening[b""] -= math.log(1 - stop)  # after the space alone the word must go on
+        self.inner = self._normal({x: w for x, w in weights.items() if x[:1] != b" "}, math.log(1 - stop))
+        self.open_tables, self.tables = self._tables(self.opening), self._tables(self.inner)
+        self.longest = max(self.tables)
         with np.errstate(over="ignore"):
-            for k, piece in enumerate(pieces):
-                h = np.uint64(0)
-                for b in piece:
-                    h = h * _BASE + np.uint64(b + 1)
-                by.setdefault(len(piece), []).append((int(h), k))
-            for _ in range(max(by)):
-                powers.append(powers[-1] * _BASE)
-        self.tables = {}
-        for size, rows in by.items():
-            rows.sort()
+            self.powers = [np.uint64(1)]
+            for _ in range(max(self.longest, *self.open_tables)):
+                self.powers.append(self.powers[-1] * _BASE)
+
+    @staticmethod
+    def _normal(weights: dict[bytes, float], plus: float) -> dict[bytes, float]:
+        total = sum(weights.values())
+        return {x: math.log(w / total) + plus for x, w in weights.items()}
+
+    @staticmethod
+    def _tables(logp: dict[bytes, float]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        by: dict[int, list[tuple[int, float]]] = {}
+        for x, p in logp.items():
+            by.setdefault(len(x), []).append((_hash(x), p))
+        tables = {}
+        for size in sorted(by):
+            rows = sorted(by[size])
             keys = np.array([r[0] for r in rows], np.uint64)
             if len(np.unique(keys)) < len(keys):
                 raise ValueError("two pieces have one hash")
-            self.tables[size] = (keys, np.array([r[1] for r in rows], np.int32))
-        self.sizes, self.powers = sorted(self.tables), powers
-
-    def edges(self, words: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(start, end, rows, pieces) of every edge of ``words`` (rows of equal length), by end."""
+            tables[size] = (keys, np.array([r[1] for r in rows]))
+        return tables
+
+    def log_probabilities(self, words: list[bytes]) -> np.ndarray:
+        """log of each word's probability, summed over all its segmentations."""
+        out = np.zeros(len(words))
+        for places, rows in by_length([w if len(w) <= LONG else b"" for w in words]):
+            out[places] = self.forward(rows)
+        for k, w in enumerate(words):
+            if len(w) > LONG:
+                out[k] = self.walk(w)
+        return out
+
+    def forward(self, words: np.ndarray) -> np.ndarray:
+        """The recursion over rows of equal length: only the last places that a piece can reach back to are held."""
         n, size = words.shape
-        prefix = np.zeros((size + 1, n), np.uint64)
+        held = self.longest + 1
+        alpha, prefix = np.full((held, n), -np.inf), np.zeros((held, n), np.uint64)
+        opened: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         with np.errstate(over="ignore"):
-            for j in range(size):
-                prefix[j + 1] = prefix[j] * _BASE + (words[:, j].astype(np.uint64) + np.uint64(1))
+            h = np.zeros(n, np.uint64)
+            for end in range(min(size, max(self.open_tables)) + 1):
+                if end:
+                    h = h * _BASE + (words[:, end - 1].astype(np.uint64) + np.uint64(1))
+                if end in self.open_tables:
+                    opened[end] = _found(*self.open_tables[end], h)
+            alpha[0, opened[0][0]] = opened[0][1]
             for end in range(1, size + 1):
-                for length in self.sizes:
+                now = np.full(n, -np.inf)
+                if end in opened:
+                    now[opened[end][0]] = opened[end][1]
+                h = prefix[(end - 1) % held] * _BASE + (words[:, end - 1].astype(np.uint64) + np.uint64(1))
+                for length, table in self.tables.items():
                     if length > end:
                         break
-                    keys, ids = self.tables[length]
-                    h = prefix[end] - prefix[end - length] * self.powers[length]
-                    at = np.searchsorted(keys, h)
-                    at[at == len(keys)] = 0
-                    hit = np.flatnonzero(keys[at] == h)
-                    if len(hit):
-                        yield end - length, end, hit, ids[at[hit]]
-
-    def forward(self, words: np.ndarray, logp: np.ndarray, edges=None) -> np.ndarray:
-        """log of the sum over all ways to reach each place; the last row is the words' log probability."""
-        n, size = words.shape
-        alpha = np.full((size + 1, n), -np.inf)
-        alpha[0] = 0.0
-        for start, end, rows, ids in self.edges(words) if edges is None else edges:
-            alpha[end, rows] = np.logaddexp(alpha[end, rows], alpha[start, rows] + logp[ids])
-        return alpha
-
-    def expected(self, words: np.ndarray, counts: np.ndarray, logp: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece, over words that occur ``counts`` times."""
-        edges = list(self.edges(words))
-        alpha = self.forward(words, logp, edges)
-        beta = np.full_like(alpha, -np.inf)
-        beta[-1] = 0.0
-        for start, end, rows, ids in reversed(edges):
-            beta[start, rows] = np.logaddexp(beta[start, rows], beta[end, rows] + logp[ids])
-        total = np.zeros(len(self.pieces))
-        for start, end, rows, ids in edges:
-            share = np.exp(alpha[start, rows] + logp[ids] + beta[end, rows] - alpha[-1, rows])
-            total += np.bincount(ids, share * counts[rows], len(total))
-        return total
+                    start = (end - length) % held
+                    rows, logp = _found(*table, h - prefix[start] * self.powers[length])
+                    if len(rows):
+                        now[rows] = np.logaddexp(now[rows], alpha[start, rows] + logp)
+                alpha[end % held], prefix[end % held] = now, h
+        return alpha[size % held] + self.stop
+
+    def walk(self, word: bytes) -> float:
+        """The same for one word of any length: the edges of a chunk of places at once, then place by place."""
+        data, size, back = np.frombuffer(word, np.uint8), len(word), self.longest
+        alpha = [-math.inf] * back + [self.opening[b""]]  # of the places from -back to 0
+        opened = {k: self.opening[word[:k]] for k in self.open_tables if 0 < k <= size and word[:k] in self.opening}
+        for low in range(0, size, CHUNK):
+            high, first = min(size, low + CHUNK), max(0, low + 1 - back)
+            wide, ends, sizes, logs = data[first:high].astype(np.uint64) + np.uint64(1), [], [], []
+            with np.errstate(over="ignore"):
+                h = np.zeros(len(wide) + 1, np.uint64)
+                for length in range(1, min(back, len(wide)) + 1):
+                    h = h[:-1] * _BASE + wide[length - 1 :]
+                    if length in self.tables:
+                        at, logp = _found(*self.tables[length], h)
+                        end = at + first + length
+                        new = end > low
+                        ends.append(end[new])
+                        sizes.append(np.full(new.sum(), length))
+                        logs.append(logp[new])
+            end = np.concatenate(ends)
+            order = np.argsort(end, kind="stable")
+            alpha = alpha[-back - 1 :] + [opened.get(k, -math.inf) for k in range(low + 1, high + 1)]
+            shift = back - low  # place 0 of the word in alpha
+            for e, length, p in zip((end[order] + shift).tolist(), np.concatenate(sizes)[order].tolist(), np.concatenate(logs)[order].tolist(), strict=True):
+                x, y = alpha[e - length] + p, alpha[e]
+                if x < y:
+                    x, y = y, x
+                alpha[e] = x if y == -math.inf else x + math.log1p(math.exp(y - x))
+        return alpha[-1] + self.stop
+
+
+def _found(keys: np.ndarray, values: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``h`` are keys, and their values."""
+    at = np.searchsorted(keys, h)
+    at[at == len(keys)] = 0
+    hit = np.flatnonzero(keys[at] == h)
+    return hit, values[at[hit]]
 
 
 def by_length(words: list[bytes], most: int = 1 << 14) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(places, rows of bytes with a space in front) of words of equal length, in bounded blocks."""
+    """(places, rows of bytes) of words of equal length, in bounded blocks; words without a byte are left out."""
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     order = np.argsort(sizes, kind="stable")
-    at = 0
+    at = int((sizes == 0).sum())
     while at < len(order):
         size = int(sizes[order[at]])
-        n = max(1, min(most, (1 << 22) // (size + 1) + 1))
+        n = max(1, min(most, (1 << 22) // size + 1))
         end = min(int(np.searchsorted(sizes[order], size, side="right")), at + n)
         places = order[at:end]
-        data = np.frombuffer(b"".join(b" " + words[i] for i in places), np.uint8).reshape(len(places), size + 1)
-        yield places, data
+        yield places, np.frombuffer(b"".join(words[i] for i in places), np.uint8).reshape(len(places), size)
         at = end

@@ -1,26 +1,28 @@
 """Language-model scores from a subword lattice (operator 1).
 
-A word's edges are the pieces of an existing vocabulary, whose scores weight all segmentations: the
-forward recursion in log space sums over all of them. The vocabulary's own scores (ranks of a byte-pair
-model) start the weights; expectation-maximisation over every distinct training word then makes them
-unigram scores. A word seen in training is also an edge of its own, with its discounted count, and the
-lattice has the discounted rest (absolute discounting), so unseen words are spelled. Counts are kept by
-class of document (by default its language); a text's probability is the sum over classes of the class's
-share times the product over words and the end, so no class has to be known to score a text. The
-probabilities of all texts, as sequences of words, sum to 1.
+A word's lattice has the pieces of an existing vocabulary, whose scores, normalised once, weight all
+segmentations: the forward recursion in log space sums over all of them (``lattice.py``). A word seen in
+training is one more edge of its own lattice: it takes its discounted count, and the pieces have the
+discounted rest (absolute discounting), so unseen words are spelled. Counts are kept by class of document (by
+default its language); a text's probability is the sum over classes of the class's share times the product over
+words and the end, so no class has to be known to score a text. The probabilities of all texts, as sequences of
+words, sum to 1. ``lattice_score`` is what the vocabulary alone gives the text's words.
 
 Scale: words are counted in each task before they are shuffled; the table of distinct words with their
-scores is distributed and as large as the corpus makes it. Texts read it in two ways: the ``head`` most
-frequent words, a fixed number of words of bounded length, are broadcast, so that no frequent word is
-shuffled; all other words of a text go through a join with the table. Both together are exact.
+scores is distributed and as large as the corpus makes it. Texts read it in two ways: at most ``HEAD`` words, all
+those from a count on that a histogram of counts yields, are broadcast (words of over HEAD_BYTES bytes by
+digest), so that no frequent word is shuffled; all other words of a text go through a join with the table. Both
+together are exact.
 
 Rows: a null text is the empty text (one end). Repeated rows and ids, null ids and null classes count like
-any others; a null id is scored as training text with crc32 of nothing. Extra columns are ignored. With no
-training text the base score is 0 and the score is the lattice's. An empty table gives an empty result.
+any others; a null id is scored as training text with crc32 of nothing. Words of any length and very long texts
+are scored whole, in memory that does not grow with a word's length times the pieces. Extra columns are ignored.
+With no training text the base score is 0 and the score is the lattice's. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -30,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricloom.llm.common import arrow_schema, blobs, ddl, documents, id_crc, stored, words
-from metricloom.llm.lattice import LONG, Lattice, by_length, load_pieces
+from metricloom.llm.common import arrow_schema, blobs, ddl, documents, id_crc, release, slices, stored, words
+from metricloom.llm.lattice import Lattice, load_pieces
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 HEAD, HEAD_BYTES, FLUSH, DISCOUNT = 1 << 17, 64, 400_000, 0.75
@@ -52,7 +54,7 @@ def _count(classes: list[str | None]):
                 yield pa.RecordBatch.from_arrays([pa.array(counter, pa.binary()), pa.array(np.full(len(counter), k, np.int32)), n if train else zero, n], names=names)
             held.clear()
 
-        for batch in batches:
+        for batch in slices(batches):
             for blob, c, train in zip(blobs(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 held.setdefault((place.get(c, len(classes)), train), Counter()).update(words(blob))
                 if sum(map(len, held.values())) > FLUSH:
@@ -62,65 +64,18 @@ def _count(classes: list[str | None]):
     return run
 
 
-def _windows(found: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-    """Words of over LONG bytes as windows, which are walked on their own; the place of each one's word."""
-    if not any(len(w) > LONG for w in found):
-        return found, np.arange(len(found))
-    parts, owner = [], []
-    for i, w in enumerate(found):
-        for at in range(0, max(1, len(w)), LONG):
-            parts.append(w[at : at + LONG])
-            owner.append(i)
-    return parts, np.array(owner)
-
-
-def _expect(pieces, logp):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, total = Lattice(pieces.value), np.zeros(len(pieces.value))
-        for batch in batches:
-            parts, _ = _windows(batch.column(0).to_pylist())
-            for places, rows in by_length(parts):
-                total += lattice.expected(rows, np.ones(len(places)), logp.value)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["piece", "uses"])
-
-    return run
+def _key(word: bytes) -> bytes:
+    """A frequent word as it is broadcast; no word begins with a space."""
+    return word if len(word) <= HEAD_BYTES else b" " + hashlib.md5(word).digest()
 
 
-def learn_pieces(types: DataFrame, pieces: list[tuple[bytes, float]], rounds: int) -> tuple[np.ndarray, float]:
-    """log probabilities of the pieces, and of a word's end, from the distinct words ``types(word)``. The
-    result of a round has a number for each piece: as large as the vocabulary, not the corpus."""
-    sc = types.sparkSession.sparkContext
-    place = np.argsort(np.argsort([-s for _, s in pieces], kind="stable"), kind="stable")
-    p = 1 / (place + 3.0)
-    stop = 0.2
-    logp = np.log(p / p.sum() * (1 - stop))
-    if not (n := types.count()):
-        return logp, math.log(stop)
-    names = sc.broadcast([x for x, _ in pieces])
-    for _ in range(rounds):
-        now = sc.broadcast(logp)
-        uses = types.mapInArrow(_expect(names, now), "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).toArrow()
-        total = np.full(len(pieces), 0.01)
-        total[uses["piece"].to_numpy()] += uses["uses"].to_numpy()
-        stop = n / (n + total.sum())
-        logp = np.log(total / total.sum() * (1 - stop))
-        now.unpersist()
-    return logp, math.log(stop)
-
-
-def _spell(pieces, logp, stop: float):
-    """Rows (word, ...) with the lattice's log probability of the word, in front of the same columns."""
+def _spell(lattice):
+    """Rows (word, ...) with the lattice's log probability of the word behind the same columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(pieces.value)
         for batch in batches:
-            found = batch.column(0).to_pylist()
-            parts, owner = _windows(found)
-            sub = np.full(len(found), stop)
-            for places, rows in by_length(parts):
-                np.add.at(sub, owner[places], lattice.forward(rows, logp.value)[-1])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sub)], names=[*batch.schema.names, "spelled"])
+            spelled = pa.array(lattice.value.log_probabilities(batch.column(0).to_pylist()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, spelled], names=[*batch.schema.names, "spelled"])
 
     return run
 
@@ -130,35 +85,51 @@ def _score_head(head, k: int, schema):
     out = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, known, base, logs = head.value
-        for batch in batches:
-            n, sums, tails = [], np.zeros((batch.num_rows, 2 + k)), []
+        place, logs = head.value
+        for batch in slices(batches):
+            n, sums, tails = [], np.zeros((batch.num_rows, 3 + k)), []
             for i, blob in enumerate(blobs(batch.column(1))):
                 w = words(blob)
                 n.append(len(w) + 1)
                 at, times, tail = [], [], []
                 for x, tf in Counter(w).items():
-                    if (j := place.get(x)) is None:
+                    if (j := place.get(_key(x))) is None:
                         tail.append({"word": x, "tf": tf})
                     else:
                         at.append(j)
                         times.append(tf)
-                tf = np.array(times, float)
-                sums[i, 0], sums[i, 1] = known[at] @ tf, base[at] @ tf
-                sums[i, 2:] = tf @ logs[at]
+                sums[i] = np.array(times, float) @ logs[at]
                 tails.append(tail)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), *map(pa.array, sums.T), pa.array(tails, out.field("tail").type)], schema=out)
 
     return run
 
 
+def _from_count(words: DataFrame, most: int) -> int:
+    """The least step of the counts' histogram (eight steps to a doubling) such that at most ``most`` words are at it or above."""
+    steps = words.groupBy(_step().alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 8 x 64 rows
+    least, total = 1 << 10, 0
+    for r in sorted(steps, key=lambda r: -r.step):
+        total += r.n
+        if total > most:
+            break
+        least = r.step
+    return least
+
+
+def _step():
+    return F.floor(F.log2(F.col("a").cast("double")) * 8).cast("int")
+
+
 def score_documents(
-    df: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", class_col: str | None = "lang", held_out: int = 10, classes: int = 16, rounds: int = 3
+    df: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", class_col: str | None = "lang", held_out: int = 10, classes: int = 16, stop: float = 0.5
 ) -> DataFrame:
-    """One row for each row of ``df``: id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``
-    and ``score``, both log10. Trains on rows whose crc32(id) mod ``held_out`` is not 0; the most frequent
-    ``classes`` values of ``class_col`` are classes and all other values are one more."""
+    """One row for each row of ``df``: id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``,
+    ``score`` and ``lattice_score``, these three log10. Trains on rows whose crc32(id) mod ``held_out`` is not 0; the
+    most frequent ``classes`` values of ``class_col`` are classes and all other values are one more. ``vocabulary`` is
+    a sentencepiece model, ``stop`` the probability that a word ends after a piece."""
     spark = df.sparkSession
+    lattice = spark.sparkContext.broadcast(Lattice(load_pieces(vocabulary), stop))
     class_of = F.col(class_col).cast("string") if class_col else F.lit(None).cast("string")
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), class_of.alias("cls"), (id_crc(F.col(id_col)) % held_out != 0).alias("train"))
     shares = docs.where("train").groupBy("cls").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "cls")
@@ -175,9 +146,6 @@ def score_documents(
     total, distinct = (seen[0] or 0) + n_docs, seen[1] + (n_docs > 0)
     size, types = [(seen[2 + 2 * i] or 0) + in_class[i] for i in range(k)], [seen[3 + 2 * i] for i in range(k)]
 
-    pieces = load_pieces(vocabulary)
-    logp, stop = learn_pieces(counts.where("c > 0").select("word"), pieces, rounds)
-    spell = _spell(spark.sparkContext.broadcast([p for p, _ in pieces]), spark.sparkContext.broadcast(logp), stop)
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in counts.schema)
     base = lambda c: F.log10((c + 0.1) / (total + 0.1 * (distinct + 1)))
 
@@ -190,15 +158,14 @@ def score_documents(
         spelled = F.col("spelled") + (math.log(DISCOUNT * types[i] / size[i]) if types[i] else math.log(1e-300))
         return F.when(seen > 0, F.log((seen + rest) / size[i])).otherwise(spelled)
 
-    scored = stored(
-        counts.mapInArrow(spell, f"{fields}, spelled double").select("word", "a", (F.col("c") > 0).cast("double").alias("known"), base(F.col("c")).alias("base"), *(log_in(i).alias(f"l{i}") for i in range(k))),
-        "words",
-    )
-    top_words = scored.where(F.length("word") <= HEAD_BYTES).orderBy(F.desc("a"), "word").limit(HEAD).toArrow()
-    logs = np.column_stack([top_words[f"l{i}"].to_numpy() for i in range(k)])
-    head = spark.sparkContext.broadcast(({w: j for j, w in enumerate(top_words["word"].to_pylist())}, top_words["known"].to_numpy(), top_words["base"].to_numpy(), logs))
+    sums = ["known", "base", "spelled", *(f"l{i}" for i in range(k))]
+    spelled = counts.mapInArrow(_spell(lattice), f"{fields}, spelled double")
+    scored = stored(spelled.select("word", "a", (F.col("c") > 0).cast("double").alias("known"), base(F.col("c")).alias("base"), "spelled", *(log_in(i).alias(f"l{i}") for i in range(k))), "words")
+    release(counts)
+    short = F.when(F.length("word") <= HEAD_BYTES, F.col("word")).otherwise(F.concat(F.lit(b" "), F.unhex(F.md5("word"))))
+    top_words = scored.where(_step() >= _from_count(scored, HEAD)).select(short.alias("word"), *sums).toArrow()  # HEAD rows of bounded size at most
+    head = spark.sparkContext.broadcast(({w: j for j, w in enumerate(top_words["word"].to_pylist())}, np.column_stack([top_words[x].to_numpy() for x in sums])))
 
-    sums = ["known", "base", *(f"l{i}" for i in range(k))]
     schema = ddl("doc_id string, row bigint, n bigint, " + ", ".join(f"{x} double" for x in sums) + ", tail array<struct<word:binary,tf:bigint>>")
     schema.fields[0] = df.select(F.col(id_col).alias("doc_id")).schema[0]
     heads = stored(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")).mapInArrow(_score_head(head, k, schema), schema), "heads")
@@ -212,9 +179,9 @@ def score_documents(
     return whole.select(
         F.col("doc_id").alias(id_col), (id_crc(F.col("doc_id")) % held_out == 0).alias("held_out"), F.col("n").alias("n_tokens"),
         (F.round("known") + (1 if n_docs else 0)).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + base(F.lit(n_docs))).alias("base_score"), score.alias("score"),
+        (F.col("base") + base(F.lit(n_docs))).alias("base_score"), score.alias("score"), (F.col("spelled") / math.log(10)).alias("lattice_score"),
     )
 
 
-def op1_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_documents(documents(spark, sf_dir))
+def op1_lattice_score(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    return score_documents(documents(spark, sf_dir), vocabulary)
