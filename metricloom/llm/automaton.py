@@ -238,3 +238,18 @@ def compile_rules(patterns: list[tuple[str, bool]], anywhere: bool = True, backw
     picked = {names[b]: s for s, b in reversed(list(enumerate(block)))}
     table = tuple(tuple(names[block[moves[picked[n]][k]]] for k in kind_of) for n in range(len(names)))
     return Dfa(table, tuple(accept[picked[n]] for n in range(len(names))), names[block[0]])
+
+
+def projections(whole: Dfa, parts: list[Dfa]) -> list[tuple[int, ...]]:
+    """For each state of ``whole``, the automaton of all rules anywhere, the state of each part, the automaton of one
+    rule anywhere. It depends on the state alone: a minimal state tells where all rules can end, so where each can."""
+    states: list[tuple[int, ...]] = [()] * len(whole.table)
+    states[whole.start] = tuple(p.start for p in parts)
+    todo = [whole.start]
+    for here in todo:
+        for byte in range(256):
+            there = whole.table[here][byte]
+            if not states[there]:
+                states[there] = tuple(p.table[n][byte] for p, n in zip(parts, states[here], strict=True))
+                todo.append(there)
+    return states

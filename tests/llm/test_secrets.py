@@ -1,12 +1,13 @@
 import hashlib
 import random
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from metricloom.llm.automaton import compile_rules
-from metricloom.llm.secrets import MORE, RULES, Rule, find_secrets, redact_secrets, scanner
+from metricloom.llm.secrets import MORE, RULES, Rule, Scanner, compiled, find_secrets, redact_secrets, scanner
 from tests.llm.util import documents
 
 BASE = {
@@ -27,7 +28,17 @@ def brute(text):
 def test_scanner_matches_re(parts):
     data = "".join(parts).encode()
     text = data.decode("latin-1")
-    assert [(s, k, e) for k, s, e in scanner(RULES).scan(data) if k < 3] == brute(text)
+    assert [(s, k, e) for k, s, e in scanner(compiled(RULES)).scan(data) if k < 3] == brute(text)
+
+
+def test_long_texts_of_one_rule_take_linear_time():
+    n = 1_000_000
+    began = time.process_time()
+    assert [x for x in scanner(compiled(RULES)).scan(b"token=password: " + b"a" * n) if x[0] == 0] == [(0, 0, 14)]
+    assert [x for x in scanner(compiled(RULES)).scan(b"token=" * (n // 6)) if x[0] == 0] == [(0, 0, 6 * (n // 6))]
+    scanner(compiled(RULES)).scan(b"eyJ" * (n // 3))
+    scanner(compiled(RULES)).scan(b"AKIAtoken:" * (n // 10))
+    assert time.process_time() - began < 60  # seconds here; hours if every end walked back
 
 
 @settings(max_examples=200, deadline=None)
@@ -46,7 +57,7 @@ def test_more_rules_and_minimal_size():
     samples = {"github": "ghp_" + "a1B2" * 9, "slack": "xoxb-1234567890-abcdefghij", "google": "AIza" + "x" * 35, "jwt": "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.abc-_def", "private_key": "-----BEGIN RSA PRIVATE KEY-----"}
     for k, rule in enumerate(MORE, 3):
         text = f"x {samples[rule.kind]} y".encode()
-        assert (k, 2, len(text) - 2) in scanner(RULES).scan(text)
+        assert (k, 2, len(text) - 2) in scanner(compiled(RULES)).scan(text)
     assert len(compile_rules([("a|b", False)], anywhere=False).table) == len(compile_rules([("[ab]", False)], anywhere=False).table) == 3
 
 
@@ -73,3 +84,12 @@ def test_redaction_keeps_rows_and_columns(spark):
     assert sorted((r.doc_id, r.text or "", r.n_chars or -1) for r in got.collect()) == [(1, "a [secret] b", 12), (1, "a [secret] b", 12), (2, "", -1), (3, "clean", 5)]
     assert find_secrets(df.limit(0)).count() == 0
     assert find_secrets(df, (Rule("a", "a+"),)).count() == 4
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("abc=", max_size=14))
+def test_overlapping_rules_match_re(text):
+    rules = {"x": "a(b|c)*=", "y": "(ab|b)=?c", "z": "[ab]+"}
+    got = Scanner(compiled(tuple(Rule(k, p) for k, p in rules.items()))).scan(text.encode())
+    want = sorted(((k, m.start(), m.end()) for k, p in enumerate(rules.values()) for m in re.finditer(p, text)), key=lambda x: (x[1], x[0]))
+    assert got == want
