@@ -5,15 +5,19 @@ within k edits of a region of a text shares at least m - q + 1 - k q q-grams wit
 more than k apart. So q-grams that occur in an item are counted in bands of k + 1 diagonals; two
 neighbouring bands overlap every possible region. Regions that reach the bound are verified by an
 alignment within the band. An occurrence is an item whole, within ``rate`` of its length in edits
-(fewer for short items: k is at most m / q - 1, so that the bound is at least 1).
+(fewer for short items: k is at most m / q - 1, so that the bound is at least 1). An item shorter than q, if
+``least`` lets it in, has to stand there exactly and as whole words.
 
 The items are the stated query set. They are broadcast in blocks of ``block`` characters, one block at a
 time against all texts: with more than one block, each pass is written to the shared folder before the
-next, so that neither the driver nor a task ever holds more than one. Texts are read in windows that
-overlap by the longest item; there is no shuffle, and no row depends on another.
-
-Rows: null and empty texts are clean; null and empty items, and those without a letter or digit, occur
-nowhere. Repeated rows and ids and null ids are rows like others; extra columns are ignored by
+next, so that neither the driver nor a task ever holds more than one. Texts, however long, are read in windows that
+overlap by the longest item; there is no shuffle, and no row depends on another. A window with more than MEETINGS
+pairs of a place and an item's place with one q-gram is walked for halves of the items, then of the window, so that
+neither repetitive texts nor q-grams that many items share fill a task's memory.
+
+Rows: null and empty texts are clean; null and empty items, and those with fewer than ``least`` letters, digits
+and spaces between words (a word or two, which proves nothing), occur nowhere. Items that occur at one place are
+all told, by id. Repeated rows and ids and null ids are rows like others; extra columns are ignored by
 :func:`find_leaks` and kept by :func:`drop_leaks`. Without items nothing is a leak.
 """
 
@@ -28,11 +32,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from metricloom.llm.common import arrow_schema, ddl, documents, stored
+from metricloom.llm.common import arrow_schema, ddl, documents, slices, stored
 
 _WORD = re.compile(r"[^\W_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _WINDOW = 1 << 20
+MEETINGS = 1 << 21
 LEAKS = "array<struct<item_id:bigint,start:bigint,end:bigint,distance:int>>"
 
 
@@ -82,9 +87,9 @@ def banded_distance(item: np.ndarray, region: np.ndarray, band: int) -> tuple[in
 class Items:
     """A block of benchmark items ready for search."""
 
-    def __init__(self, items: list[tuple[int, str]], q: int, rate: float):
+    def __init__(self, items: list[tuple[int, str]], q: int, rate: float, least: int = 1):
         self.q, self.rate = q, rate
-        self.items = [(i, t) for i, text in items if (t := reduced(text))]
+        self.items = [(i, t) for i, text in items if len(t := reduced(text)) >= max(1, least)]
         self.points = [_points(t) for _, t in self.items]
         self.budget = np.array([max(0, min(int(rate * len(p)), len(p) // q - 1)) for p in self.points], np.int64)
         size = np.array([len(p) for p in self.points], np.int64)
@@ -97,6 +102,7 @@ class Items:
         order = np.argsort(grams, kind="stable")
         self.keys, self.first, self.many = np.unique(grams[order], return_index=True, return_counts=True)
         self.owner, self.place = owner[order], place[order]
+        self.code = np.repeat(np.arange(len(self.keys)), self.many) * np.int64(len(each) + 1) + self.owner  # rises with key, then item
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.keys >> np.uint64(44)).astype(np.int64)] = True
         self.longest = int((size + 2 * self.budget).max(initial=q))
@@ -108,13 +114,15 @@ class Items:
         for at in range(0, max(1, len(points)), _WINDOW):
             self._window(points[at : at + _WINDOW + self.longest], at, found)
         for k in self.short:
-            at = text.find(self.items[k][1])
+            item, padded = f" {self.items[k][1]} ", f" {text} "
+            at = padded.find(item)
             while at >= 0:
-                found[k, at] = (at + len(self.items[k][1]), 0)
-                at = text.find(self.items[k][1], at + 1)
+                found[k, at] = (at + len(item) - 2, 0)
+                at = padded.find(item, at + 1)
         return self._apart(found)
 
     def _window(self, points: np.ndarray, offset: int, found: dict) -> None:
+        """All occurrences that lie whole in ``points``."""
         h = _grams(points, self.q)
         at = np.flatnonzero(self.maybe[(h >> np.uint64(44)).astype(np.int64)])
         if not len(at):
@@ -123,10 +131,28 @@ class Items:
         key[key == len(self.keys)] = 0
         hit = self.keys[key] == h[at]
         at, key = at[hit], key[hit]
-        many = self.many[key]
-        if not many.sum():
+        if len(at):
+            self._meet(points, offset, found, at, key, 0, len(self.points))
+
+    def _meet(self, points: np.ndarray, offset: int, found: dict, at: np.ndarray, key: np.ndarray, low: int, high: int) -> None:
+        """``at`` places of the text that have the q-gram ``key``, against the items from ``low`` to ``high``."""
+        first = np.searchsorted(self.code, key * np.int64(len(self.points) + 1) + low)
+        many = np.searchsorted(self.code, key * np.int64(len(self.points) + 1) + high) - first
+        total = int(many.sum())
+        if not total:
+            return
+        if total > MEETINGS and high - low > 1:
+            middle = (low + high) // 2
+            self._meet(points, offset, found, at, key, low, middle)
+            self._meet(points, offset, found, at, key, middle, high)
+            return
+        if total > MEETINGS and len(points) > 4 * self.longest:
+            half = len(points) // 2
+            cut = half + self.longest
+            self._meet(points[:cut], offset, found, at[at < cut - self.q + 1], key[at < cut - self.q + 1], low, high)
+            self._meet(points[half:], offset + half, found, at[at >= half] - half, key[at >= half], low, high)
             return
-        posting = np.repeat(self.first[key] - np.append(0, np.cumsum(many)[:-1]), many) + np.arange(many.sum())
+        posting = np.repeat(first - np.append(0, np.cumsum(many)[:-1]), many) + np.arange(total)
         owner, where = self.owner[posting], np.repeat(at, many)
         diagonal = where - self.place[posting] + self.longest
         band = diagonal // (self.budget[owner] + 1)
@@ -209,22 +235,22 @@ def _leaks_in(items: Items, text: str | None) -> list[tuple[int, int, int, int]]
     return [(items.items[k][0], *span, edits) for (k, _, _, edits), span in zip(found, spans, strict=True)]
 
 
-def _passes(df: DataFrame, items: DataFrame, item_id: str, item_text: str, q: int, rate: float, block: int, step) -> DataFrame:
+def _passes(df: DataFrame, items: DataFrame, item_id: str, item_text: str, q: int, rate: float, block: int, least: int, step) -> DataFrame:
     """``step(df, items of a block)`` for one block after the other; without items for an empty block."""
     sc, first = df.sparkSession.sparkContext, True
     for held in _blocks(items, item_id, item_text, block):
-        df, first = step(df if first else stored(df, "decontaminated"), sc.broadcast(Items(held, q, rate))), False
+        df, first = step(df if first else stored(df, "decontaminated"), sc.broadcast(Items(held, q, rate, least))), False
     return step(df, sc.broadcast(Items([], q, rate))) if first else df
 
 
-def find_leaks(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", q: int = 8, rate: float = 0.1, block: int = 4_000_000) -> DataFrame:
+def find_leaks(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", q: int = 8, rate: float = 0.1, block: int = 4_000_000, least: int = 8) -> DataFrame:
     """One row for each row of ``df``: id and ``leaks`` (item_id, start, end, distance), by start."""
     schema = T.StructType([df.schema[id_col], T.StructField("__text", T.StringType()), *ddl(f"leaks {LEAKS}")])
     out, names = arrow_schema(schema), ("item_id", "start", "end", "distance")
 
     def step(rows: DataFrame, shared) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 leaks = []
                 for text, before in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                     found = before + [dict(zip(names, x, strict=True)) for x in _leaks_in(shared.value, text)]
@@ -234,22 +260,22 @@ def find_leaks(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
         return rows.mapInArrow(run, schema)
 
     none = F.expr(f"cast(array() as {LEAKS})").alias("leaks")
-    return _passes(df.select(id_col, F.col(text_col).alias("__text"), none), items, item_id, item_text, q, rate, block, step).select(id_col, "leaks")
+    return _passes(df.select(id_col, F.col(text_col).alias("__text"), none), items, item_id, item_text, q, rate, block, least, step).select(id_col, "leaks")
 
 
-def drop_leaks(df: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", q: int = 8, rate: float = 0.1, block: int = 4_000_000) -> DataFrame:
+def drop_leaks(df: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", q: int = 8, rate: float = 0.1, block: int = 4_000_000, least: int = 8) -> DataFrame:
     """The rows of ``df``, with all their columns, in whose text no item occurs."""
     at, schema = df.columns.index(text_col), df.schema
 
     def step(rows: DataFrame, shared) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 clean = [not shared.value.search(reduced(t)) for t in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         return rows.mapInArrow(run, schema)
 
-    return _passes(df, items, item_id, item_text, q, rate, block, step)
+    return _passes(df, items, item_id, item_text, q, rate, block, least, step)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

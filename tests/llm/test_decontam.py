@@ -56,13 +56,16 @@ def test_leaks_match_brute_force(spark, monkeypatch):
         low, hits = decontam.reduced(t), set()
         for i, x in items:
             x = decontam.reduced(x)
-            if x and brute(x, low) <= max(0, min(int(0.1 * len(x)), len(x) // q - 1)):
+            if x and len(x) < q:
+                if f" {x} " in f" {low} ":
+                    hits.add(i)
+            elif x and brute(x, low) <= max(0, min(int(0.1 * len(x)), len(x) // q - 1)):
                 hits.add(i)
         want.append((str(d), tuple(sorted(hits))))
     for block in (4_000_000, 900):  # 900: several passes
-        got = sorted((str(r.doc_id), tuple(sorted({x.item_id for x in r.leaks}))) for r in decontam.find_leaks(df, frame, block=block).collect())
+        got = sorted((str(r.doc_id), tuple(sorted({x.item_id for x in r.leaks}))) for r in decontam.find_leaks(df, frame, block=block, least=1).collect())
         assert got == sorted(want)
-        kept = decontam.drop_leaks(df, frame, block=block)
+        kept = decontam.drop_leaks(df, frame, block=block, least=1)
         assert kept.columns == df.columns
         assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(d for d, h in want if not h)
     assert sum(bool(h) for _, h in want) > 60
@@ -77,3 +80,15 @@ def test_spans_are_code_points_of_the_text(spark):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert [r.leaks for r in decontam.find_leaks(documents(spark, [(1, item)]), none).collect()] == [[]]
     assert decontam.find_leaks(documents(spark, [(1, "a")]).limit(0), none).count() == 0
+
+
+def test_crowded_windows_and_short_items(monkeypatch):
+    items, docs = fixture()
+    items += [(200, "for " * 30 + "ever"), (201, "for for for for"), (202, "yes"), (203, "a")]
+    texts = [decontam.reduced(t) for _, t in docs] + ["for " * 3000 + "ever", "yesterday a cat", "well yes a"]
+    whole = decontam.Items(items, 8, 0.1)
+    want = [whole.search(t) for t in texts]
+    assert [whole.items[k][0] for k, *_ in want[-2]] == [203] and [whole.items[k][0] for k, *_ in want[-1]] == [202, 203]
+    monkeypatch.setattr(decontam, "MEETINGS", 300)
+    assert [{x[0] for x in found} for found in map(whole.search, texts)] == [{x[0] for x in found} for found in want]
+    assert not [k for k in decontam.Items(items, 8, 0.1, least=8).items if len(k[1]) < 8]
