@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from metricloom.llm.common import arrow_schema, blobs, documents, stored, words
+from metricloom.llm.common import arrow_schema, blobs, documents, slices, stored, words
 from metricloom.llm.components import connected_components
 from metricloom.llm.keeping import PLACE, firsts, one_of_each, placed
 
@@ -55,7 +55,7 @@ def fingerprints(df: DataFrame, shingle: int = 3, seed: int = 42, id_col: str =
     out = arrow_schema(schema)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             fps = np.array([fingerprint(x, shingle, seed) for x in blobs(batch.column(1))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), *batch.columns[2:]], schema=out)
 
