@@ -3,42 +3,50 @@
 A text is the vector of its character 1- to 3-grams (of letters in lower case, by UTF-8 byte, hashed),
 with sublinear counts, inverse document frequencies and length 1. Each language has several centroids,
 found by spherical k-means; the language of the nearest centroid by cosine is the prediction. A text
-that is farther from its nearest centroid than any sample text of its length, by a margin, is rejected.
-
-Document frequencies and the counts of languages cover all training texts; they come from sums made in
-each task, of the fixed size of the feature table. Only the k-means runs on a sample: at most
-``per_lang`` texts of a language and ``most`` in all, those with the least hash of id and text. Prediction
-is one pass without shuffle; the model's size depends on the number of languages alone, of which
-``most_langs`` is the greatest number (more raise ValueError: none is dropped).
-
-Rows: a text that is null or has no letter is ``und`` with score 0 and is rejected. Rows with null lang
-or null text do not train. Repeated rows and ids and null ids are rows like others; extra columns are
-ignored by :func:`identify` and kept by :func:`keep_identified`. With nothing to learn from all is ``und``.
+that is farther from its nearest centroid than any sample text of that language and of its length, by a margin,
+is rejected.
+
+Document frequencies cover all training texts; they come from sums made in each task, of the fixed size of the
+feature table. Only the k-means runs on a sample: of each language the ``per_lang`` distinct texts with the least
+hashes. Each language's k-means is a task of its own, of bounded size. There may be any number of languages:
+their centroids are a table in the shared folder, and prediction broadcasts ``block`` languages at a time, one
+block after the other against all texts (one pass without shuffle for up to ``block`` languages).
+
+Rows: a text that is null or has no letter (Unicode category L) is ``und`` with score 0 and is rejected. Rows with
+null lang or null text do not train. Repeated rows count in the frequencies and once in the sample; repeated and
+null ids are rows like others. A text as near to two languages gets the first by name. Very long texts are counted
+whole, in chunks. Extra columns are ignored by :func:`identify` and kept by :func:`keep_identified`. With nothing to
+learn from all is ``und``. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 from pyspark.sql import types as T
 
-from metricloom.llm.common import arrow_schema, documents, id_crc
+from metricloom.llm.common import arrow_schema, documents, id_crc, slices, stored
 
 SIZE = 1 << 14
 _LETTERS = re.compile(r"[^\W\d_]+")
+_NO_LETTERS = {c: " " for c in range(128, sys.maxunicode + 1) if (x := chr(c)).isalnum() and not x.isalpha()}  # digits, fractions, numerals
 _MIX = np.uint32(2654435761)
 _CHUNK = 1 << 20
 
 
 def gram_counts(text: str | None) -> np.ndarray | None:
     """Counts by feature; None if there is no letter."""
-    found = _LETTERS.findall((text or "").lower())
+    text = (text or "").lower()
+    found = _LETTERS.findall(text if text.isascii() else text.translate(_NO_LETTERS))
     if not found:
         return None
     data = np.frombuffer(f" {' '.join(found)} ".encode("utf-8", "replace"), np.uint8)
@@ -53,28 +61,56 @@ def gram_counts(text: str | None) -> np.ndarray | None:
     return total
 
 
+def vector(counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.flatnonzero(counts)
+    v = (1 + np.log(counts[at])) * idf[at]
+    return at, (v / (np.linalg.norm(v) or 1.0)).astype(np.float32)
+
+
 @dataclass
-class Model:
+class Block:
+    """Some languages, in order."""
+
     langs: list[str]  # of each centroid
     centroids: np.ndarray  # feature by centroid
+    least: np.ndarray  # of each centroid: least cosine by the logarithm of the length
     idf: np.ndarray
-    least: np.ndarray  # least cosine by the logarithm of the length
-
-    def vector(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.flatnonzero(counts)
-        v = (1 + np.log(counts[at])) * self.idf[at]
-        return at, (v / (np.linalg.norm(v) or 1.0)).astype(np.float32)
 
-    def predict(self, text: str | None) -> tuple[str, float, bool]:
-        """Language, cosine, whether rejected."""
-        counts = gram_counts(text) if self.langs else None
+    def predict(self, text: str | None) -> tuple[str, float, float] | None:
+        """Language, cosine and the least cosine that is not rejected."""
+        counts = gram_counts(text)
         if counts is None:
-            return "und", 0.0, True
-        at, v = self.vector(counts)
+            return None
+        at, v = vector(counts, self.idf)
         near = v @ self.centroids[at]
         best = int(near.argmax())
-        score = float(min(1.0, max(0.0, near[best])))
-        return self.langs[best], score, score < self.least[_bin(counts)]
+        return self.langs[best], float(min(1.0, max(0.0, near[best]))), float(self.least[best, _bin(counts)])
+
+
+@dataclass
+class Model:
+    """``table(lang, centroid, least)`` is as long as there are languages; None with nothing to learn from."""
+
+    table: DataFrame | None
+    idf: np.ndarray
+    block: int
+
+    @property
+    def langs(self) -> list[str]:
+        return [] if self.table is None else [r.lang for r in self.table.select("lang").distinct().orderBy("lang").collect()]
+
+    def blocks(self) -> Iterator[Block]:
+        """``block`` languages at a time, as they stream to the driver."""
+        held: list = []
+        rows = [] if self.table is None else self.table.orderBy("lang", "centroid").toLocalIterator()
+        made = lambda: Block([r.lang for r in held], np.column_stack([np.frombuffer(r.centroid, np.float32) for r in held]), np.array([r.least for r in held]), self.idf)
+        for k, (_, own) in enumerate(groupby(rows, key=lambda r: r.lang)):
+            if k and not k % self.block:
+                yield made()
+                held.clear()
+            held += own
+        if held:
+            yield made()
 
 
 def _bin(counts: np.ndarray) -> int:
@@ -97,7 +133,7 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts to (feature, documents with it); feature -1 counts the documents."""
     df, n = np.zeros(SIZE, np.int64), 0
-    for batch in batches:
+    for batch in slices(batches):
         for text in batch.column(0).to_pylist():
             if (counts := gram_counts(text)) is not None:
                 df += counts > 0
@@ -108,7 +144,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, text, order) to (lang, order, features, counts)."""
-    for batch in batches:
+    for batch in slices(batches):
         lang, rank, feature, times = [], [], [], []
         for c, text, h in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             if (counts := gram_counts(text)) is not None:
@@ -121,81 +157,92 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((lang, rank, feature, times), kinds, strict=True)], names=["lang", "rank", "feature", "times"])
 
 
-def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", centroids: int = 4, per_lang: int = 400, most: int = 4000, most_langs: int = 400, margin: float = 0.5) -> Model:
-    """A model from all rows of ``df`` that have text and lang."""
-    rows = df.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    n_langs = {r[0]: r[1] for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).limit(most_langs + 1).collect()}
-    if len(n_langs) > most_langs:
-        raise ValueError(f"more than {most_langs} languages")
-    idf = np.zeros(SIZE)
-    n = 0
-    if n_langs:
-        for r in rows.select(text_col).mapInArrow(_frequencies, "feature int, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).collect():
-            if r.feature < 0:
-                n = r.n
-            else:
-                idf[r.feature] = r.n
-    if not n:
-        return Model([], np.zeros((SIZE, 0), np.float32), idf, np.zeros(32))
-    idf = np.log((1 + n) / (1 + idf)) + 1
-    each = max(8, min(per_lang, most // len(n_langs)))
-    rank = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), text_col)
-    share = F.create_map(*[F.lit(x) for c, k in n_langs.items() for x in (c, min(1.0, 1.5 * each / k + 8 / k))])
-    picked = (rank / F.lit(2.0**64) + 0.5) <= share[F.col(lang_col)]
-    sample = rows.where(picked).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), rank.alias("rank"))
-    table = sample.mapInArrow(_sparse, "lang string, rank bigint, feature array<smallint>, times array<int>").toArrow()
-    by: dict[str, list] = {}
-    for i, (c, h) in enumerate(zip(table["lang"].to_pylist(), table["rank"].to_pylist(), strict=True)):
-        by.setdefault(c, []).append((h, i))
-    model, langs, found, near = Model(["?"], np.zeros((SIZE, 1), np.float32), idf, np.zeros(32)), [], [], np.full(32, np.inf)
-    for c in sorted(by):
-        x, bins = np.zeros((min(each, len(by[c])), SIZE), np.float32), []
-        for row, (_, i) in zip(x, sorted(by[c]), strict=False):
+def _centroids(idf, centroids: int, margin: float):
+    """The sample of one language to its centroids."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("rank")
+        x, bins = np.zeros((len(table), SIZE), np.float32), []
+        for i, row in enumerate(x):
             counts = np.zeros(SIZE, np.int64)
             counts[table["feature"][i].values.to_numpy()] = table["times"][i].values.to_numpy()
-            at, v = model.vector(counts)
+            at, v = vector(counts, idf.value)
             row[at] = v
             bins.append(_bin(counts))
         own = kmeans(x, centroids)
+        near = np.full(32, np.inf)
         np.minimum.at(near, bins, (x @ own.T).max(axis=1))
-        langs += [c] * len(own)
-        found.append(own)
-    low = np.zeros(32)  # a length without a sample takes the least of those above it, or nothing
-    for b in range(32):
-        if np.isfinite(near[b]):
-            low[b] = margin * near[b:].min()
-        elif b and np.isfinite(near[: b]).any():
-            low[b] = low[b - 1]
-    return Model(langs, np.concatenate(found).T.copy(), idf, low)
+        low = np.zeros(32)  # a length without a sample takes the least of those above it, or nothing
+        for b in range(32):
+            if np.isfinite(near[b]):
+                low[b] = margin * near[b:].min()
+            elif b and np.isfinite(near[:b]).any():
+                low[b] = low[b - 1]
+        columns = [pa.array([table["lang"][0].as_py()] * len(own), pa.string()), pa.array([c.tobytes() for c in own], pa.binary()), pa.array([low.tolist()] * len(own), pa.list_(pa.float64()))]
+        return pa.table(columns, names=["lang", "centroid", "least"])
 
+    return run
 
-def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``df``: id, ``lang_pred``, ``score`` (cosine) and ``rejected``."""
-    schema = T.StructType([df.schema[id_col], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
-    out, shared = arrow_schema(schema), df.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            said = [shared.value.predict(x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[k] for x in said], out.field(k + 1).type) for k in range(3))], schema=out)
+def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", centroids: int = 4, per_lang: int = 400, margin: float = 0.5, block: int = 128) -> Model:
+    """A model from all rows of ``df`` that have text and lang."""
+    sc = df.sparkSession.sparkContext
+    rows = df.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    idf, n = np.zeros(SIZE), 0
+    for r in rows.select("text").mapInArrow(_frequencies, "feature int, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).collect():  # SIZE + 1 rows at most
+        if r.feature < 0:
+            n = r.n
+        else:
+            idf[r.feature] = r.n
+    if not n:
+        return Model(None, idf, block)
+    idf = np.log((1 + n) / (1 + idf)) + 1
+    letters = F.col("text").rlike(r"\p{L}")
+    ranked = rows.select("lang", F.when(letters, F.xxhash64("text")).alias("rank")).where("rank is not null").distinct()
+    ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("rank"))).where(F.col("place") <= per_lang)  # cut in each task before it is dealt
+    last = stored(ranked.groupBy("lang").agg(F.max("rank").alias("last")), "languages")
+    picked = rows.withColumn("rank", F.xxhash64("text")).join(last, "lang").where("rank <= last").select("lang", "text", "rank")
+    sets = picked.mapInArrow(_sparse, "lang string, rank bigint, feature array<smallint>, times array<int>")
+    sample = sets.groupBy("lang", "rank").agg(F.any_value("feature").alias("feature"), F.any_value("times").alias("times"))
+    found = sample.groupBy("lang").applyInArrow(_centroids(sc.broadcast(idf), centroids, margin), "lang string, centroid binary, least array<double>")
+    return Model(stored(found, "centroids"), idf, block)
+
+
+def _predicted(df: DataFrame, model: Model, text_col: str) -> DataFrame:
+    """``df`` with ``__lang``, ``__score`` and ``__least`` (null without a prediction) behind its columns."""
+    own, more = len(df.columns), [T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType()), T.StructField("__least", T.DoubleType())]
+    at, schema = df.columns.index(text_col), T.StructType([*df.schema.fields, *more])
+    out, first = arrow_schema(schema), True
+    rows = df.select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in more))
+
+    def step(rows: DataFrame, shared) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches):
+                said = list(zip(*(c.to_pylist() for c in batch.columns[own:]), strict=True))
+                for i, text in enumerate(batch.column(at).to_pylist()):
+                    new = shared.value.predict(text)
+                    if new and (said[i][1] is None or new[1] > said[i][1]):
+                        said[i] = new
+                yield pa.RecordBatch.from_arrays([*batch.columns[:own], *(pa.array([x[k] for x in said], out.field(own + k).type) for k in range(3))], schema=out)
+
+        return rows.mapInArrow(run, schema)
+
+    for some in model.blocks():
+        rows, first = step(rows if first else stored(rows, "predicted"), df.sparkSession.sparkContext.broadcast(some)), False
+    return rows
 
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+
+def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of ``df``: id, ``lang_pred``, ``score`` (cosine) and ``rejected``."""
+    said = _predicted(df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), model, "__text")
+    rejected = F.coalesce(F.col("__score") < F.col("__least"), F.lit(True))
+    return said.select(F.col("__id").alias(id_col), F.coalesce("__lang", F.lit("und")).alias("lang_pred"), F.coalesce("__score", F.lit(0.0)).alias("score"), rejected.alias("rejected"))
 
 
 def keep_identified(df: DataFrame, model: Model, text_col: str = "text", lang_col: str | None = None) -> DataFrame:
     """The rows of ``df``, with all their columns, that are not rejected; ``lang_col``, if named, gets the prediction."""
-    at, put, shared = df.columns.index(text_col), df.columns.index(lang_col) if lang_col else None, df.sparkSession.sparkContext.broadcast(model)
-    out = arrow_schema(df.schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            said = [shared.value.predict(x) for x in batch.column(at).to_pylist()]
-            columns = list(batch.columns)
-            if put is not None:
-                columns[put] = pa.array([x[0] for x in said], out.field(put).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=out).filter(pa.array([not x[2] for x in said], pa.bool_()))
-
-    return df.mapInArrow(run, df.schema)
+    kept = _predicted(df, model, text_col).where("__score >= __least")
+    return kept.select(*(F.col("__lang").cast(df.schema[c].dataType).alias(c) if c == lang_col else F.col(f"`{c}`") for c in df.columns))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from metricloom.llm import langid
 from tests.llm.util import documents
 
@@ -43,3 +45,38 @@ def test_nothing_to_learn_from(spark):
     df = documents(spark, [(1, "abc", None, "s"), (2, None, "en", "s")])
     assert [(r.lang_pred, r.score) for r in langid.identify(df, langid.train(df)).collect()] == [("und", 0.0)] * 2
     assert langid.identify(df.limit(0), langid.train(df.limit(0))).count() == 0
+
+
+def brute_vectors(texts, idf):
+    return [langid.vector(langid.gram_counts(t), idf) for t in texts]
+
+
+def test_prediction_is_the_nearest_of_all_centroids(spark):
+    """Against plain cosines with every centroid, in blocks of one language and of all."""
+    df = documents(spark, table())
+    texts = [r[1] for r in table()]
+    for block in (1, 128):
+        model = langid.train(df, per_lang=20, centroids=3, block=block)
+        rows = model.table.collect()
+        got = {r.doc_id: r for r in langid.identify(df, model).collect()}
+        for i, (at, v) in enumerate(brute_vectors(texts, model.idf)):
+            near = max((float(v @ np.frombuffer(r.centroid, np.float32)[at]), r.lang) for r in rows)
+            assert got[i].lang_pred == near[1] and abs(got[i].score - min(1, near[0])) < 1e-5
+
+
+def test_frequencies_and_samples_cover_all_rows_and_languages(spark):
+    same = [(None, "le la les et des eau qui", "fr", "s")] * 3000
+    df = documents(spark, [*same, *((i, f"the of and with {i} ation ing", "en", "s") for i in range(300))])
+    model = langid.train(df, per_lang=5)
+    assert model.langs == ["en", "fr"] and {r.lang_pred for r in langid.identify(df, model).where("doc_id is null").collect()} == {"fr"}
+    many = [(i, f"{chr(0x4E00 + i)}{chr(0x4E00 + i)} {chr(0x4E00 + i)}", f"l{i:03}", "s") for i in range(60)]
+    df = documents(spark, many)
+    got = langid.identify(df, langid.train(df, block=25)).collect()  # three passes
+    assert all(r.lang_pred == f"l{r.doc_id:03}" and not r.rejected for r in got)
+
+
+def test_letters_are_of_category_l_and_long_texts_are_whole():
+    assert langid.gram_counts("² ½ Ⅷ ٣ _ 12") is None
+    assert (langid.gram_counts("aⅧb½é") == langid.gram_counts("A B É")).all()
+    one, n = langid.gram_counts("the of "), 400_000
+    assert langid.gram_counts("the of " * n)[ord("t")] == n * one[ord("t")]

@@ -45,7 +45,7 @@ def test_stages_decide_and_keep_what_is_clean(spark, tmp_path):
     assert set(seen[1]) == set(roots.values())
     assert set(seen[1]) - set(seen[2]) == {d for d in seen[1] if any(decontam.reduced(t) in decontam.reduced(every[d][1]) for _, t in items)} != set()
     assert set(seen[3]) == set(seen[2])
-    scan = secrets.Scanner(secrets.RULES).scan
+    scan = secrets.scanner(secrets.compiled(secrets.RULES)).scan
     assert not any(scan(r.text.encode()) for r in seen[3].values())
     assert all(r.n_chars == len(r.text) for r in seen[3].values())
     assert {d for d in seen[3] if "[secret]" in seen[3][d].text} == {d for d in seen[2] if d >= 500} != set()
