@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from metricloom.analyzer import analyze_query, analyze_query_hierarchy
 from metricloom.catalogue import models
+from metricloom.catalogue.surface import SURFACE
 from metricloom.repository import Repository
 
 
@@ -288,8 +289,13 @@ _add("gran_of_time_dimension", "select strftime(ts, '%H') as events___clock___ho
 
 # order, limit, offset, count
 
-_add("default_order_granularity", "select cast(month(ts) as integer) as events___ts___month_num, event_type as events___event_type, count(*) as events___count from events group by 1, 2", ["events.ts.month_num", "events.event_type", "events.count"])
-_add("default_order_metric", "select n_name as nation___name, count(c_custkey) as customer___count from nation left join customer on c_nationkey = n_nationkey group by 1", ["nation.name", "customer.count"])
+_add("default_order_granularity", "select distinct strftime(ts, '%Y-%m-%d %H:%M') as events___ts___minute from events order by 1 limit 40", ["events.ts.minute"], limit=40)
+_add(
+    "default_order_metric",
+    f"select n_name as nation___name, {_SUM.format('c_acctbal')} as customer___balance from nation left join customer on c_nationkey = n_nationkey group by 1 order by 2 desc nulls last limit 6",
+    ["nation.name", "customer.balance"],
+    limit=6,
+)
 _add("default_order_dimension", "select n_name as nation___name from nation order by 1 limit 7", ["nation.name"], limit=7)
 _add(
     "limit_offset",
@@ -392,5 +398,5 @@ DRILL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     ),
 }
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**ENTRIES, **{k: v[0] for k, v in DRILL.items()}}
-ORACLE_SQL: dict[str, str] = {**{k: e.sql for k, e in ENTRIES.items()}, **{k: v[1] for k, v in DRILL.items()}}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**ENTRIES, **{k: v[0] for k, v in (DRILL | SURFACE).items()}}
+ORACLE_SQL: dict[str, str] = {**{k: e.sql for k, e in ENTRIES.items()}, **{k: v[1] for k, v in (DRILL | SURFACE).items()}}

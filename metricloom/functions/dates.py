@@ -1,4 +1,10 @@
-"""Instants and ranges as filter values: ISO dates and a small language of relative ones."""
+"""Instants and ranges as filter values: ISO dates and texts as people write them.
+
+Units (``last 3 weeks``, ``two days ago``, ``start of next quarter``), days (``yesterday at 5pm``, ``last friday``), months,
+quarters and years (``5 May 2021``, ``Q1 2021``, ``may``), and ranges of all these (``last monday to friday``). A weekday
+alone is the nearest one (of two as near the earlier); ``last`` is before today, ``this`` today or after, ``next`` in
+the week after this one; behind ``to`` it is the first one from the range's beginning on. Weeks begin on Monday.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +13,10 @@ from datetime import date, datetime, timedelta, timezone
 
 _UNITS = ("second", "minute", "hour", "day", "week", "month", "quarter", "year")
 _ISO = r"\d{4}-\d{1,2}-\d{1,2}(?:[T ]\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?)?(?:Z|[+-]\d{2}:?\d{2})?"
+_NUMBERS = {w: str(k) for k, w in enumerate("one two three four five six seven eight nine ten eleven twelve".split(), 1)} | {"twenty": "20", "thirty": "30"}
+_DAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
+_DAY = "|".join(f"{d[:3]}(?:{d[3:]})?" for d in _DAYS) + "|tues|thurs|wednes"
+_CLOCK = re.compile(r"(?:(.+?) )?(?:at )?(?:(\d{1,2})(?::(\d{2})(?::(\d{2}))?)? ?(am|pm)|(\d{1,2}):(\d{2})(?::(\d{2}))?|(noon|midnight))")
 _MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 
 
@@ -55,9 +65,45 @@ def start_of(x: datetime, unit: str) -> datetime:
     return x
 
 
+_MONTH = "|".join(f"{m[:3]}(?:{m[3:]})?" if len(m) > 3 else m for m in _MONTHS) + "|sept"
+
+
+def _weekday(name: str, which: str | None, at: datetime) -> datetime:
+    day = next(k for k, d in enumerate(_DAYS) if d.startswith(name[:3]))
+    today = start_of(at, "day")
+    ahead = (day - today.weekday()) % 7
+    if which in ("last", "past", "previous"):
+        return today - timedelta(days=(-ahead) % 7 or 7)
+    if which == "next":
+        return start_of(today, "week") + timedelta(days=7 + day)
+    if which in ("this", "coming"):
+        return today + timedelta(days=ahead)
+    return today + timedelta(days=ahead if ahead < 4 else ahead - 7)
+
+
+def _calendar(t: str, at: datetime) -> tuple[datetime, str] | None:
+    """Days, months and quarters of the calendar: the first instant and the unit."""
+    month = lambda name: next(k for k, m in enumerate(_MONTHS, 1) if m.startswith(name[:3]))
+    day = r"(\d{1,2})(?:st|nd|rd|th)?"
+    try:
+        if m := re.fullmatch(rf"(?:the )?{day} (?:of )?({_MONTH})\.?(?: (\d{{4}}))?", t):
+            return datetime(int(m[3] or at.year), month(m[2]), int(m[1])), "day"
+        if m := re.fullmatch(rf"({_MONTH})\.? {day}(?: (\d{{4}}))?", t):
+            return datetime(int(m[3] or at.year), month(m[1]), int(m[2])), "day"
+        if m := re.fullmatch(rf"({_MONTH})\.?(?: (?:of )?(\d{{4}}))?", t):
+            return datetime(int(m[2] or at.year), month(m[1]), 1), "month"
+        if m := re.fullmatch(r"(\d{1,2})/(\d{1,2})/(\d{4})", t):
+            return datetime(int(m[3]), int(m[1]), int(m[2])), "day"
+        if m := re.fullmatch(r"q([1-4])(?: (?:of )?(\d{4}))?|(\d{4})[ -]q([1-4])", t):
+            return datetime(int(m[2] or m[3] or at.year), 3 * int(m[1] or m[4]) - 2, 1), "quarter"
+    except ValueError:  # no such day
+        pass
+    return None
+
+
 def _span(text: str, at: datetime) -> tuple[datetime, datetime] | None:
     """First and last instant (to the second) of what ``text`` names."""
-    t = " ".join(text.lower().replace(",", " ").split())
+    t = " ".join(_NUMBERS.get(w, w) for w in text.lower().replace(",", " ").split())
     units = "|".join(_UNITS)
 
     def whole(x: datetime, unit: str) -> tuple[datetime, datetime]:
@@ -90,10 +136,19 @@ def _span(text: str, at: datetime) -> tuple[datetime, datetime] | None:
         return None
     if m := re.fullmatch(r"\d{4}", t):
         return whole(datetime(int(t), 1, 1), "year")
-    if m := re.fullmatch(rf"({'|'.join(_MONTHS)}) (\d{{4}})", t):
-        return whole(datetime(int(m[2]), _MONTHS.index(m[1]) + 1, 1), "month")
-    if m := re.fullmatch(rf"({'|'.join(_MONTHS)}) (\d{{1,2}}) (\d{{4}})", t):
-        return whole(datetime(int(m[3]), _MONTHS.index(m[1]) + 1, int(m[2])), "day")
+    if m := re.fullmatch(rf"(?:on )?(?:(last|past|previous|this|coming|next) )?({_DAY})", t):
+        return whole(_weekday(m[2], m[1], at), "day")
+    if found := _calendar(t, at):
+        return whole(*found)
+    if m := _CLOCK.fullmatch(t):
+        day = _span(m[1], at) if m[1] else whole(at, "day")
+        hour, minute, second = (int(x or 0) for x in ((m[2], m[3], m[4]) if m[2] else (m[6], m[7], m[8])))
+        if m[5] and not 1 <= hour <= 12:
+            return None
+        hour = {"noon": 12, "midnight": 0}[m[9]] if m[9] else hour % 12 + 12 * (m[5] == "pm") if m[5] else hour
+        if day and max(hour - 23, minute - 59, second - 59) <= 0:
+            x = start_of(day[0], "day").replace(hour=hour, minute=minute, second=second)
+            return x, x
     return None
 
 
@@ -127,6 +182,10 @@ def date_range(value: str | dict, at: datetime | None = None) -> tuple[datetime,
         if m := re.fullmatch(r"\s*(?:from |between )?(.+?)\s+(?:to|until|till|through|and|-|–)\s+(.+?)\s*", value, re.I):
             parts = [m[1], m[2]]
         spans = [_span(p, at) for p in parts]
+        if len(parts) == 2 and spans[0] and re.fullmatch(_DAY, parts[1].lower()):
+            spans[1] = _span(f"this {parts[1]}", spans[0][0])
+        elif len(parts) == 2 and spans[1] and re.fullmatch(rf"({_MONTH})\.?( \d{{1,2}})?", parts[0].lower()) and re.search(r"\d{4}$", parts[1]):
+            spans[0] = _span(f"{parts[0]} {spans[1][1].year}", at)  # january to march 2020
         if None in spans:
             raise ValueError(f"Invalid date: {value}")
         return spans[0][0], spans[-1][1]

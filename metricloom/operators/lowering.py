@@ -166,6 +166,9 @@ class Lowering:
         return df.join(right, on, "inner").unionAll(alone.select(*nulls, "*"))
 
     def _is_small(self, df: DataFrame) -> bool:
+        """False also where the session can't tell sizes (Spark Connect): the join then keeps its declared form."""
+        if not hasattr(df, "_jdf"):
+            return False
         limit = self.spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
         return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
+from datetime import date, datetime
+from decimal import Decimal
 from typing import TYPE_CHECKING, Any
 
 from pyspark.sql import Column
@@ -29,6 +31,7 @@ class Expression:
 
     column: Column
     models: tuple[str, ...]
+    text: str | None = None  # the same as SQL, if it is known
 
 
 @dataclass(frozen=True)
@@ -94,21 +97,45 @@ class _Scope:
         return self._told(F.col(quoted(*parts)), quoted(*parts))
 
     def sql(self, text: str, *values: Any) -> Column:
-        """SQL with ``{}`` for each value: a reference made by this object, or a literal."""
-        return F.expr(text.format(*(self._as_sql(v) for v in values)))
-
-    def _as_sql(self, value: Any) -> str:
+        """SQL with ``{}`` for each value: a reference made by this object, what another call of this made, or a
+        literal (quoted by its type; other braces stay as they are). Where rows are told one by one, any other Column
+        may stand there too."""
+        parts = text.split("{}")
+        if len(parts) != len(values) + 1:
+            raise ValueError(f"{len(parts) - 1} places for {len(values)} values in {text!r}")
+        said = [self._as_sql(v) for v in values]
+        others = [v for v, t in zip(values, said, strict=True) if t is None]
+        if others:
+            return self._over(parts, said, others)
+        whole = "".join(x for pair in zip(parts, [*said, ""], strict=True) for x in pair)
+        return self._told(F.expr(whole), f"({whole})")
+
+    def _over(self, parts: list[str], said: list[str | None], others: list[Column]) -> Column:
+        raise ValueError("sql() in a metric takes references to columns and metric inputs, other sql() and literals; combine other Columns with functions")
+
+    def text_of(self, column: Column) -> str | None:
+        return next((text for known, text in self._texts if known is column), None)
+
+    def _as_sql(self, value: Any) -> str | None:
+        """None for a Column of which no text is known."""
         if isinstance(value, Column):
-            for column, text in self._texts:
-                if column is value:
-                    return text
-            raise ValueError("sql() takes references to columns and metric inputs, and literals; combine other Columns with functions")
+            return self.text_of(value)
         if value is None:
             return "NULL"
         if isinstance(value, bool):
             return str(value).upper()
-        if isinstance(value, (int, float)):
-            return repr(value)
+        if isinstance(value, int):
+            return repr(value) if abs(value) < 1 << 31 else f"{value}L"
+        if isinstance(value, float):
+            return f"double('{value!r}')"
+        if isinstance(value, Decimal):
+            return f"{value:f}BD"
+        if isinstance(value, (bytes, bytearray)):
+            return f"X'{bytes(value).hex()}'"
+        if isinstance(value, datetime):
+            return f"{'timestamp' if value.tzinfo else 'timestamp_ntz'}'{value.isoformat(' ')}'"
+        if isinstance(value, date):
+            return f"date'{value.isoformat()}'"
         return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
@@ -127,7 +154,14 @@ class RowScope(_Scope):
     def dimension(self, name: str) -> Column:
         found = self._evaluation.dimension(self._evaluation.repository.model(self._own()).dimension(name))
         self._used.append(found.models)
-        return found.column
+        return self._told(found.column, found.text)
+
+    def _over(self, parts: list[str], said: list[str | None], others: list[Column]) -> Column:
+        """The text as a function of the Columns of which none is known, applied to them."""
+        fields = iter(range(len(others)))
+        whole = "".join(x for pair in zip(parts, [*(f"__v.v{next(fields)}" if t is None else t for t in said), ""], strict=True) for x in pair)
+        row = F.struct(*(v.alias(f"v{k}") for k, v in enumerate(others)))
+        return F.call_function("transform", F.array(row), F.expr(f"__v -> ({whole})"))[0]
 
     def models(self) -> tuple[str, ...]:
         return tuple(dict.fromkeys(m for used in reversed(self._used) for m in used))
@@ -194,10 +228,10 @@ class Evaluation:
             whole = self.dimension(parent)
             return Expression(granularity(whole.column, d.granularity, parent.type), whole.models)
         if d.expr is None:
-            return Expression(F.col(quoted(d.model, d.name)), (d.model,))
+            return Expression(F.col(quoted(d.model, d.name)), (d.model,), quoted(d.model, d.name))
         scope = RowScope(self, d.model, () if d.model else tuple(self.repository.models))
         column = d.expr(scope)
-        return Expression(column, (d.model,) if d.model else scope.models())
+        return Expression(column, (d.model,) if d.model else scope.models(), scope.text_of(column))
 
     def metric(self, m: Metric) -> Aggregate:
         if m.path not in self._aggregates:

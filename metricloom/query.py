@@ -43,8 +43,9 @@ class QueryBuilder:
         return plan_query(self.repository, Evaluation(self.repository, context), self.schema.parse(query))
 
     def build_query(self, query: dict[str, Any], context: Any = None) -> DataFrame:
-        """The result as a DataFrame with columns ``model___member``: dimensions first, then metrics."""
-        return self._build(self.schema.parse(query), context, ordered=True)
+        """The result as a DataFrame with columns ``model___member``: dimensions first, then metrics. Without ``order`` it
+        has the default order; with an empty one (``[]``) none, which saves a sort of the whole result."""
+        return self._build(self.schema.parse(query), context, ordered=query.get("order") != [])
 
     def build_count_query(self, query: dict[str, Any], context: Any = None) -> DataFrame:
         """One row with the number of rows (``count``) that the query has without limit and offset."""

@@ -11,6 +11,7 @@ from metricloom.operators.filters import Path, kind_of, leaves, subquery
 if TYPE_CHECKING:
     from metricloom.repository import Repository
 
+# Messages that callers may compare with.
 MIXED = "All and/or connectives must include filters with members of the same type (dimension or metric)"
 NOT_FOUND = "Member not found"
 Report = Callable[[Path, str], None]

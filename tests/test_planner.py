@@ -1,3 +1,5 @@
+# The members, messages and plans that these tests expect are fixed values.
+
 import pytest
 from pyspark.sql import functions as F
 

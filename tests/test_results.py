@@ -1,6 +1,7 @@
 """Results over small tables with nulls, orphans and repeated rows."""
 
 from datetime import date, datetime
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -227,9 +228,25 @@ def test_sql_text_in_callbacks(spark):
     m.with_metric("n", "number", lambda r: r.sql("sum({} * {}) filter (where {} > {})", r.column("a"), 10, r.column("a"), 1))
     b = repository().with_model(m).build(spark)
     assert rows_of(b, ["x.b", "x.n"]) == [("it's \\ none", 30), ("b\\c", 20), ("it's", None)]
-    m.with_dimension("c", "string", lambda r: r.sql("{}", F.lit(1)))
-    with pytest.raises(ValueError, match="references"):
-        rows_of(repository().with_model(m).build(spark), ["x.c"])
+    m.with_dimension("c", "string", lambda r: r.sql("{} || '-' || {}", r.dimension("b"), r.sql("upper({}) || {}", r.column("odd name"), "{2}")))
+    m.with_dimension("d", "string", lambda r: r.sql("regexp_replace({}, '[a-z]{2}', {})", F.concat(r.dimension("b"), F.lit("!")), "_"))
+    values = [datetime(2020, 1, 2, 3, 4, 5), date(2020, 1, 2), 1.5, Decimal("2.50"), b"\x01", 1 << 40, True, None, "a'b\\"]
+    m.with_dimension("e", "string", lambda r: r.sql("to_json(struct(" + ", ".join(["{}"] * len(values)) + "))", *values))
+    m.with_metric("p", "number", lambda r: r.sql("{} + {}", r.sql("sum({})", r.column("a")), r.sql("max({})", r.dimension("a"))))
+    m.with_metric("q", "number", lambda r: r.sql("sum({})", r.column("a") * 2))
+    m.with_metric("r", "number", lambda r: r.sql("sum({})"))
+    b = repository().with_model(m).build(spark)
+    assert rows_of(b, ["x.c"], filters=[{"operator": "set", "member": "x.c"}]) == [("b\\c-B\\C{2}",), ("it's-IT'S{2}",)]
+    assert rows_of(b, ["x.d", "x.p"]) == [("it's \\ none!".replace("it", "_").replace("no", "_").replace("ne", "_"), 6), ("b\\c!", 4), ("_'s!", 2)]
+    assert [r[0] for r in rows_of(b, ["x.e"])] == ['{"col1":"2020-01-02T03:04:05.000","col2":"2020-01-02","col3":1.5,"col4":2.50,"col5":"AQ==","col6":1099511627776,"col7":true,"col9":"a\'b\\\\"}']
+    for metric, message in (("q", "references"), ("r", "places")):
+        with pytest.raises(ValueError, match=message):
+            rows_of(b, [f"x.{metric}"])
+
+
+def test_empty_order_is_no_order(shop):
+    plan = lambda **q: shop.build_query({"members": ["customers.country", "customers.count"], **q})._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort" in plan() and "Sort" not in plan(order=[])
 
 
 def test_introspection_and_formats(shop):

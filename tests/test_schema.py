@@ -1,3 +1,5 @@
+# The members, messages and plans that these tests expect are fixed values.
+
 from datetime import datetime
 
 import pytest
