@@ -5,14 +5,16 @@ the longest increasing sequence stays, and the gaps between anchors are aligned
 their common beginnings and ends. A gap without such words is aligned by its longest common
 subsequence. Coverage is the share of the template's words that are aligned.
 
-A text is scanned whole. A stretch begins at each word that is rare for a license (a word of the
-template that is not one of ``COMMON``) and is as long as the template and a quarter; an accepted
-match ends the stretch, and the scan goes on behind it. Of matches that overlap, the one with more
-aligned words stays (then with more coverage, then the first name).
+Templates are one-line notices and whole licenses. A text is scanned whole. A stretch begins at a word that is rare
+for a license (a word of the template that is not one of ``COMMON``), is as long as the template and a half, and is
+aligned only if it has enough of the template's words, each as often as the template has it: fewer can't be
+covered. An accepted match ends the stretch, and the scan goes on behind it; after a stretch that is refused, the
+next one begins an eighth of the template further. Of matches that overlap, the one with more aligned words stays
+(then with more coverage, then the first name).
 
 Scale: a text needs nothing but the templates, which are a parameter of fixed size; there is no
-shuffle, and no row depends on another. A stretch is no longer than a template, so work is linear in
-the text.
+shuffle, and no row depends on another. Words enter and leave the stretch once, and stretches of a length begin an
+eighth of it apart at least, so work is linear in the text, also in a very long or repetitive one.
 
 Rows: null and empty texts, and texts without a license, have no match. Repeated rows and ids and null
 ids are rows like others; extra columns are ignored. An empty table gives an empty result.
@@ -20,17 +22,20 @@ ids are rows like others; extra columns are ignored. An empty table gives an emp
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from metricloom.llm.common import arrow_schema, ddl, documents
+from metricloom.llm.common import arrow_schema, ddl, documents, slices
 
 _WORD = re.compile(r"[^\W_]+")
 MATCHES = "array<struct<license:string,start:bigint,end:bigint,coverage:double>>"
@@ -55,6 +60,15 @@ TEMPLATES: dict[str, str] = {
 }
 
 
+TEXTS = Path(__file__).parent / "license_texts"  # whole public licenses, one a file
+
+
+@lru_cache(maxsize=1)
+def all_templates() -> dict[str, str]:
+    """The notices and the whole licenses; read by the driver."""
+    return TEMPLATES | {f"{f.stem}-text": f.read_text(encoding="utf-8", errors="replace") for f in sorted(TEXTS.glob("*.txt"))}
+
+
 def rising(places: list[int]) -> list[int]:
     """Positions of a longest increasing subsequence: patience piles with pointers to the pile before."""
     tops: list[int] = []
@@ -103,24 +117,27 @@ def patience(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 
 
 def _common(a: list[str], b: list[str], i: int, j: int, k: int, m: int) -> list[tuple[int, int]]:
-    """A longest common subsequence of a gap."""
-    if not set(a[i:j]) & set(b[k:m]):
-        return []
-    table = [[0] * (m - k + 1) for _ in range(j - i + 1)]
-    for x in range(j - i - 1, -1, -1):
-        row, below = table[x], table[x + 1]
-        for y in range(m - k - 1, -1, -1):
-            row[y] = below[y + 1] + 1 if a[i + x] == b[k + y] else max(below[y], row[y + 1])
-    out, x, y = [], 0, 0
-    while x < j - i and y < m - k:
-        if a[i + x] == b[k + y]:
-            out.append((i + x, k + y))
-            x, y = x + 1, y + 1
-        elif table[x + 1][y] >= table[x][y + 1]:
-            x += 1
+    """A longest common subsequence of a gap. A row of its table is one whole number: bit y is 0 where the row's
+    length rises at the word y of ``b``."""
+    where: dict[str, int] = {}
+    for y in range(k, m):
+        where[b[y]] = where.get(b[y], 0) | 1 << (y - k)
+    full = (1 << (m - k)) - 1
+    rows = [full]
+    for x in range(i, j):
+        row = rows[-1]
+        same = row & where.get(a[x], 0)
+        rows.append((row + same | row - same) & full)
+    out, x, y = [], j - i, m - k
+    while x and y:
+        if rows[x] >> (y - 1) & 1:
+            y -= 1
+        elif not rows[x - 1] >> (y - 1) & 1:
+            x -= 1
         else:
-            y += 1
-    return out
+            x, y = x - 1, y - 1
+            out.append((i + x, k + y))
+    return out[::-1]
 
 
 class Scanner:
@@ -129,42 +146,31 @@ class Scanner:
     def __init__(self, templates: dict[str, str], least: float):
         self.least = least
         self.words = {name: _WORD.findall(text.lower()) for name, text in templates.items() if _WORD.search(text.lower())}
-        self.of: dict[str, list[str]] = {}
-        for name, w in self.words.items():
-            for x in dict.fromkeys(x for x in w if x not in COMMON):
-                self.of.setdefault(x, []).append(name)
-        self.rare = frozenset(self.of)
-        self.need = {name: min(len(set(w) - COMMON), max(1, int(least * len(w)) - sum(x in COMMON for x in w))) for name, w in self.words.items()}
+        self.counts = {name: Counter(w) for name, w in self.words.items()}
+        self.need = {name: max(1, math.ceil(least * len(w) - 1e-9)) for name, w in self.words.items()}
+        self.of: dict[str, list[tuple[str, int]]] = {}
+        for name, counts in self.counts.items():
+            for x, n in counts.items():
+                self.of.setdefault(x, []).append((name, n))
+        self.known = frozenset(self.of)
 
     def scan(self, text: str | None) -> list[tuple[str, int, int, float]]:
         """(license, start, end, coverage) in code points of the text, by start."""
         if not text:
             return []
         low = text.lower()
-        if self.rare.isdisjoint(_WORD.findall(low)):
+        credit: dict[str, int] = {}
+        for w in self.known.intersection(_WORD.findall(low)):
+            for name, n in self.of[w]:
+                credit[name] = credit.get(name, 0) + n
+        names = [name for name, n in credit.items() if n >= self.need[name]]
+        if not names:
             return []
         if len(low) != len(text):  # letters that grow in lower case
             low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
         found = list(_WORD.finditer(low))
         words = [m.group() for m in found]
-        hits: dict[str, list[int]] = {}
-        for at, w in enumerate(words):
-            for name in self.of.get(w, ()):
-                hits.setdefault(name, []).append(at)
-        matches: list[tuple[int, float, str, int, int]] = []
-        for name, places in hits.items():
-            template, need = self.words[name], self.need[name]
-            width = len(template) + len(template) // 4 + 2
-            done = 0
-            for n, at in enumerate(places):
-                if at < done or n + need > len(places) or places[n + need - 1] >= at + width:
-                    continue
-                low_at = max(done, at - (len(template) // 4 + 2))
-                pairs = patience(template, words[low_at : at + width])
-                if len(pairs) >= self.least * len(template):
-                    first, last = low_at + pairs[0][1], low_at + pairs[-1][1]
-                    matches.append((len(pairs), len(pairs) / len(template), name, first, last))
-                    done = last + 1
+        matches = [x for name in sorted(names) for x in self._matches(name, words)]
         kept: list[tuple[int, float, str, int, int]] = []
         taken: list[tuple[int, int]] = []
         for x in sorted(matches, key=lambda x: (-x[0], -x[1], x[2], x[3])):
@@ -174,17 +180,46 @@ class Scanner:
                 kept.append(x)
         return [(name, found[first].start(), found[last].end(), coverage) for _, coverage, name, first, last in sorted(kept, key=lambda x: x[3])]
 
+    def _matches(self, name: str, words: list[str]) -> Iterator[tuple[int, float, str, int, int]]:
+        """(aligned words, coverage, name, first word, last word) of the matches of one template."""
+        template, counts, need = self.words[name], self.counts[name], self.need[name]
+        ahead, behind = len(template) + len(template) // 4 + 2, len(template) // 4 + 2
+        left = right = done = wait = have = 0  # words from left to right are counted
+        inside: dict[str, int] = {}
+        for at, w in enumerate(words):
+            if w not in counts or w in COMMON or at < done or at < wait:
+                continue
+            low, high = max(done, at - behind), min(len(words), at + ahead)
+            for x in words[right:high]:
+                if x in counts:
+                    inside[x] = inside.get(x, 0) + 1
+                    have += inside[x] <= counts[x]
+            right = max(right, high)
+            for x in words[left:low]:
+                if x in counts:
+                    have -= inside[x] <= counts[x]
+                    inside[x] -= 1
+            left = max(left, low)
+            if have < need:
+                continue
+            pairs = patience(template, words[low:high])
+            if len(pairs) >= need:
+                done = low + pairs[-1][1] + 1
+                yield len(pairs), len(pairs) / len(template), name, low + pairs[0][1], done - 1
+            else:
+                wait = at + max(1, len(template) // 8)
+
 
 def find_licenses(df: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``df``: id and ``matches`` (license, start, end, coverage), by start; a
     match covers ``least`` of its template."""
-    templates = TEMPLATES if templates is None else templates
+    templates = df.sparkSession.sparkContext.broadcast(all_templates() if templates is None else templates)
     schema = T.StructType([df.schema[id_col], *ddl(f"matches {MATCHES}")])
     out, names = arrow_schema(schema), ("license", "start", "end", "coverage")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scan = Scanner(templates, least).scan
-        for batch in batches:
+        scan = Scanner(templates.value, least).scan
+        for batch in slices(batches):
             found = [[dict(zip(names, x, strict=True)) for x in scan(t)] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, out.field(1).type)], schema=out)
 

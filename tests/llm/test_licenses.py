@@ -1,4 +1,5 @@
 import random
+import time
 from itertools import combinations
 
 from metricloom.llm import licenses
@@ -81,3 +82,31 @@ def test_planted_notices_are_found_and_clean_texts_are_not(spark):
     assert (m[0].start, m[0].end) == (3, 33)
     assert licenses.find_licenses(df.limit(0)).count() == 0
     assert [r.matches for r in licenses.find_licenses(documents(spark, docs[:1]), templates={}).collect()] == [[]]
+
+
+def test_gaps_take_a_longest_common_subsequence():
+    rng = random.Random(7)
+    for _ in range(400):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(0, 12))] for _ in range(2))
+        got = licenses._common(a, b, 0, len(a), 0, len(b))
+        assert len(got) == lcs(a, b) and all(a[i] == b[j] for i, j in got)
+        assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(got, got[1:], strict=False))
+
+
+def test_whole_licenses_and_repetitive_texts():
+    templates = licenses.all_templates()
+    scan = licenses.Scanner(templates, 0.8).scan
+    rng = random.Random(8)
+    for name in ("GPL-3.0-text", "Apache-2.0-text", "MPL-2.0-text"):
+        words = templates[name].split()
+        for _ in range(len(words) // 12):
+            words[rng.randrange(len(words))] = "changed"
+        found = scan(f"{words_of(rng, 300)} {' '.join(words)} {words_of(rng, 300)}")
+        assert [x[0] for x in found] == [name] and found[0][3] >= 0.8
+        assert not [x for x in scan(" ".join(templates[name].split()[: len(words) // 2])) if x[0] == name]
+    began = time.process_time()
+    scan("software " * 300_000)
+    scrambled = templates["MIT-text"].split()
+    rng.shuffle(scrambled)
+    assert scan(" ".join(scrambled * 200)) == []
+    assert time.process_time() - began < 60
