@@ -8,12 +8,15 @@ from predictions as good as those that it will get, not from ones that know the
 A text is the set of its words (letters and digits in lower case) and of their first 4 and 6 letters, so
 that an ending not seen before does not hide a stem; hashed to ``2 ** bits`` features.
 
-The models are fitted on a bounded sample of labels: about ``most`` of them, by a hash of the id, of
-which half are kept for positives of the rarest category if it has so many. Only their texts' word
-hashes reach the driver. Prediction is one pass over all whole texts without shuffle, with a
+The models are fitted on a bounded sample of labels: about ``most`` ids with their labels, by a hash of the id, of
+which half are kept for positives of the rarest category if it has so many. Repeated labels and texts are one
+row with a weight; if the ids have more than four times ``most`` documents, texts are chosen in their turn by hash. Only
+the chosen texts' word hashes reach the driver, which fits the models on one core, in time that depends on
+``most`` alone. Prediction is one pass over all whole texts without shuffle, with a
 model of fixed size.
 
-Rows: a null or empty text has no word and gets what the models say of no words.
+Rows: a null or empty text has no word and gets what the models say of no words; a very long one is the set of
+its words. A probability equal to the cut is a yes.
 Labels without id or document don't train; a label that is null leaves the document out of that
 category's model alone. A category with labels of one kind only is constant. Repeated rows and ids and null ids are rows
 like others; of a document that is labelled repeatedly every label counts. Extra columns are ignored. An
@@ -33,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from metricloom.llm.common import arrow_schema, ddl, documents
+from metricloom.llm.common import arrow_schema, ddl, documents, slices, stored
 
 BITS = 20
 PREFIXES = (4, 6)
@@ -178,31 +181,39 @@ def best_cut(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
 
 def sample_labelled(df: DataFrame, known: DataFrame, labels: dict[str, Column], most: int, bits: int, id_col: str, text_col: str):
     """(sets, labels, hashes, weights) of the sample. Its size is the same whatever the tables': ids are
-    picked among the labels first, and only these, a broadcast of bounded size, look for their texts."""
+    picked among the labels first, and only these look for their texts. They are broadcast if they are as few as
+    expected, and shuffled otherwise."""
     names = [f"y{j}" for j in range(len(labels))]
-    rows = known.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), *(c.cast("double").alias(y) for y, c in zip(names, labels.values(), strict=True)))
-    rows = rows.where(F.greatest(*(F.coalesce(y, F.lit(-1.0)) for y in names), F.lit(-1.0)) >= 0)
+    told = (F.when(c.cast("double") > 0.5, 1.0).when(c.cast("double") <= 0.5, 0.0).alias(y) for y, c in zip(names, labels.values(), strict=True))
+    rows = known.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), *told).where(F.coalesce(*names).isNotNull())
+    rows = rows.groupBy("id", *names).agg(F.count(F.lit(1)).alias("times"))
     counts = rows.agg(F.count(F.lit(1)).alias("n"), *(F.sum(y).alias(y) for y in names)).first()
     if not counts.n:
         return [], np.zeros((0, len(labels))), np.zeros(0, np.int64), np.zeros(0)
     rare = min(range(len(labels)), key=lambda j: counts[names[j]] or float("inf"))
     n_yes = int(counts[names[rare]] or 0)
     shares = [min(1.0, (most - most // 2) / max(1, counts.n - n_yes)), min(1.0, most // 2 / max(1, n_yes))]  # expected sizes; hashes spread evenly
-    rank = F.xxhash64(F.col("id").cast("string"))
-    picked = (rank / F.lit(2.0**64) + 0.5) < F.when(F.coalesce(F.col(names[rare]), F.lit(0.0)) > 0, shares[1]).otherwise(shares[0])
-    chosen = F.broadcast(rows.where(picked))
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select("text", rank.alias("rank"), F.xxhash64("text").alias("h"), *names)
-    schema = T.StructType([*ddl("rank bigint, h bigint"), *(T.StructField(y, T.DoubleType()) for y in names), *ddl("set array<int>")])
+    rank, share = F.xxhash64(F.col("id").cast("string")), lambda h: h / F.lit(2.0**64) + 0.5
+    picked = share(rank) < F.when(F.coalesce(F.col(names[rare]), F.lit(0.0)) > 0, shares[1]).otherwise(shares[0])
+    chosen = stored(rows.where(picked), "labels")
+    chosen = F.broadcast(chosen) if chosen.count() <= 2 * most else chosen
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    found = docs.select("id").join(chosen, "id").count()
+    of_texts = min(1.0, 4 * most / max(1, found))
+    h = F.xxhash64("text")
+    texts = docs.where(share(h) < of_texts if of_texts < 1 else F.lit(True)).join(chosen, "id").select("text", rank.alias("rank"), h.alias("h"), "times", *names)
+    schema = T.StructType([*ddl("rank bigint, h bigint, times bigint"), *(T.StructField(y, T.DoubleType()) for y in names), *ddl("set array<int>")])
     out = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = pa.array([features(t, bits) for t in batch.column(0).to_pylist()], out.field("set").type)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], sets], schema=out)
 
-    table = texts.mapInArrow(run, schema).toArrow().sort_by([(c, "ascending") for c in ("rank", "h", *names)])
+    table = texts.mapInArrow(run, schema).groupBy("rank", "h", *names).agg(F.sum("times").alias("times"), F.any_value("set").alias("set")).toArrow()
+    table = table.sort_by([(c, "ascending") for c in ("rank", "h", *names)])
     y = np.column_stack([table[c].to_numpy() for c in names]) if len(table) else np.zeros((0, len(labels)))
-    weight = np.where(np.nan_to_num(y[:, rare]) > 0, 1 / shares[1], 1 / shares[0])
+    weight = np.where(np.nan_to_num(y[:, rare]) > 0, 1 / shares[1], 1 / shares[0]) * table["times"].to_numpy() / of_texts
     sets = [s.values.to_numpy() for s in table["set"]]
     return sets, y, table["rank"].to_numpy(), weight
 
@@ -227,7 +238,7 @@ def classify(df: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             p = model.predict([features(t, model.bits) for t in batch.column(1).to_pylist()])
             columns = [x for j, cut in enumerate(model.cuts) for x in (pa.array(p[:, j]), pa.array(p[:, j] >= cut))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], schema=out)

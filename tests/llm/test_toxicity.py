@@ -71,3 +71,17 @@ def test_odd_rows_and_nothing_to_learn(spark):
     chain = toxicity.train(empty, empty, labels, bits=8)
     assert toxicity.classify(empty, chain).count() == 0
     assert not any(r.a for r in toxicity.classify(df, chain).collect())
+
+
+def test_repeated_ids_and_labels_are_weights(spark):
+    rng = random.Random(3)
+    texts = [(i % 40, " ".join(rng.choice(["good", "fine", "calm"] if i % 2 else ["vile", "foul", "calm"]) for _ in range(6)), "en", "s") for i in range(80)]
+    df = documents(spark, texts * 3 + [(1, "good " * 200_000, "en", "s")])
+    known = spark.createDataFrame([(i, i % 2, None if i % 5 == 0 else 1 - i % 2) for i in range(40)] * 4 + [(None, 1, 0), (7, None, None)], "doc_id bigint, quality int, toxic int")
+    labels = {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")}
+    sets, y, rank, weight = toxicity.sample_labelled(df, known, labels, 1000, toxicity.BITS, "doc_id", "text")
+    rows = {(i, t) for i, t, *_ in texts} | {(1, "good " * 200_000)}
+    assert len(sets) == len(rows)  # each text of each id once
+    assert weight.sum() == 4 * (3 * len(texts) + 1)  # for as many labels and rows as there are
+    few = toxicity.sample_labelled(df, known, labels, 4, toxicity.BITS, "doc_id", "text")
+    assert len(few[0]) < len(rows)
