@@ -8,8 +8,9 @@ leaves 16 asks of 32 on average. What meets in a table's cell is verified over a
 
 Scale: equal fingerprints are one row from the start, so exact copies never meet. A cell gives at most
 one link for each of its members (a spanning forest), never all its pairs. Cells are read as a sorted
-stream; one with more than ``most`` fingerprints is not gathered but handed to :func:`_by_masks`, which
-is exact and builds no pairs, but makes 41,664 rows of each fingerprint at distance 3.
+stream; one with more than ``most`` fingerprints is not gathered but split by what it leaves open: the other half's
+two parts of 16 bits, of which again one differs in at most one bit, and then the rest's two parts of 8. A
+cell of that last level has at most 33 * 17 * 9 * 256 = 1.3 million fingerprints, ten megabytes, whatever the input.
 
 Rows: null and empty texts have the fingerprint zero, which links like any other; a text shorter than a
 shingle is one shingle. Repeated rows and ids stay, null ids too (they are never a component's id, but
@@ -19,7 +20,7 @@ carry links). Extra columns are ignored. An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations, islice, repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -83,22 +84,27 @@ def forest(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _link_cells(distance: int, most: int):
-    """Over rows (cell, fp, asks) sorted by cell: rows (a, b), or (a, null) for members of a cell that is too large."""
+    """Over rows (cell, fp, asks, rest) sorted by cell: links (a, b), or (a, null, cell, rest) for members of a
+    cell that is too large."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         over = None
-        empty = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool))
+        kinds = (np.int64, np.uint64, bool, np.int64)
+        empty = tuple(np.zeros(0, k) for k in kinds)
         tail = empty
 
-        def rows(a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
-            b = pa.nulls(len(a), pa.int64()) if b is None else pa.array(b.view(np.int64))
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), b], names=["a", "b"])
+        def rows(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            none = pa.nulls(len(a), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), none, none], names=["a", "b", "cell", "rest"])
 
-        def cells(cell: np.ndarray, fp: np.ndarray, asks: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def crowd(cell: np.ndarray, fp: np.ndarray, _, rest: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.nulls(len(fp), pa.int64()), pa.array(cell), pa.array(rest)], names=["a", "b", "cell", "rest"])
+
+        def cells(cell: np.ndarray, fp: np.ndarray, asks: np.ndarray, _) -> Iterator[pa.RecordBatch]:
             """Whole cells."""
             if not len(cell):
                 return
-            at = np.flatnonzero(np.diff(cell, prepend=cell[0] - 1))
+            at = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
             sizes = np.diff(at, append=len(cell))
             ends, starts = [], []
             for i, n in zip(at[sizes > 1], sizes[sizes > 1], strict=True):
@@ -110,49 +116,49 @@ def _link_cells(distance: int, most: int):
                 yield rows(e, np.concatenate(starts))
 
         for batch in batches:
-            cell, fp, asks = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            fp = fp.view(np.uint64)
+            new = tuple(batch.column(k).to_numpy(zero_copy_only=False).astype(kind, copy=False) if kind is not np.uint64 else batch.column(k).to_numpy().view(kind) for k, kind in enumerate(kinds))
             if over is not None:  # go on with the cell that is too large
-                n = int(np.searchsorted(cell, over, side="right"))
+                n = int(np.searchsorted(new[0], over, side="right"))
                 if n:
-                    yield rows(fp[:n], None)
-                    cell, fp, asks = cell[n:], fp[n:], asks[n:]
-                if not len(cell):
+                    yield crowd(*(x[:n] for x in new))
+                    new = tuple(x[n:] for x in new)
+                if not len(new[0]):
                     continue
                 over = None
-            cell, fp, asks = (np.concatenate(x) for x in zip(tail, (cell, fp, asks), strict=True))
-            if not len(cell):
+            held = tuple(np.concatenate(x) for x in zip(tail, new, strict=True))
+            if not len(held[0]):
                 continue
-            cut = int(np.searchsorted(cell, cell[-1]))
-            yield from cells(cell[:cut], fp[:cut], asks[:cut])
-            tail = (cell[cut:], fp[cut:], asks[cut:])
+            cut = int(np.searchsorted(held[0], held[0][-1]))
+            yield from cells(*(x[:cut] for x in held))
+            tail = tuple(x[cut:] for x in held)
             if len(tail[0]) > most:
                 over = tail[0][0]
-                yield rows(tail[1], None)
+                yield crowd(*tail)
                 tail = empty
         yield from cells(*tail)
 
     return run
 
 
-def _by_masks(fps: DataFrame, distance: int) -> DataFrame:
-    """Links among ``fps(a)``: fingerprints that agree outside ``distance`` places are all within that
-    distance of one another, so each links to the least of them; every pair within it shares such a mask."""
-    masks = [sum(1 << b for b in places) for places in combinations(range(64), distance)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    spark = fps.sparkSession
-    table = spark.createDataFrame([(m,) for m in signed], "mask long")
-    keyed = fps.distinct().join(F.broadcast(table)).select("a", "mask", F.col("a").bitwiseAND(F.bitwise_not("mask")).alias("key"))
-    least = keyed.groupBy("mask", "key").agg(F.min("a").alias("b"), F.max("a").alias("c")).where("b <> c")
-    return keyed.join(least, ["mask", "key"]).where("a <> b").select("a", "b").distinct()
+def _unset(bits: Column, value: Column) -> Column:
+    return F.filter(bits, lambda bit: value.bitwiseAND(bit) == 0)
 
 
-def _unset(bits: Column, half: Column) -> Column:
-    return F.filter(bits, lambda bit: half.bitwiseAND(bit) == 0)
+def _cells(ball: Column, value: Column, left: Column, table: int) -> Column:
+    return F.transform(ball, lambda bit: F.struct(F.xxhash64("cell", F.lit(table), value.bitwiseOR(bit)).alias("cell"), (bit != 0).alias("asks"), left.alias("rest")))
 
 
-def _cells(ball: Column, half: Column, table: int) -> Column:
-    return F.transform(ball, lambda bit: F.struct(half.bitwiseOR(bit).bitwiseOR(F.lit(table << 32)).alias("cell"), (bit != 0).alias("asks")))
+def _dealt(fps: DataFrame, width: int) -> DataFrame:
+    """Rows (fp, cell, rest), of whose fingerprints those in one cell may differ only in ``rest``, of ``width`` bits, to the
+    cells (cell, fp, asks, rest) of both halves of rest and of the ball of radius 1 around each."""
+    part, one, asks = width // 2, F.lit(1).cast("long"), []
+    mask = F.lit((1 << part) - 1).cast("long")
+    for table in range(2):
+        low, high = F.col("rest").bitwiseAND(mask), F.shiftrightunsigned("rest", part).bitwiseAND(mask)
+        value, left = (low, high) if not table else (high, low)
+        flips = F.transform(F.sequence(F.lit(0), F.lit(part - 1)), lambda i: F.call_function("shiftleft", one, i))
+        asks.append(_cells(F.concat(F.array(F.lit(0).cast("long")), _unset(flips, value)), value, left, table))
+    return fps.select("fp", F.explode(F.concat(*asks)).alias("x")).select("x.cell", "fp", "x.asks", "x.rest")
 
 
 def near_links(fps: DataFrame, distance: int = 3, most: int = 1 << 16) -> DataFrame:
@@ -160,17 +166,16 @@ def near_links(fps: DataFrame, distance: int = 3, most: int = 1 << 16) -> DataFr
     all pairs within ``distance`` do."""
     if not 0 <= distance <= 3:
         raise ValueError("two tables with balls of radius 1 find distances up to 3")
-    one, asks = F.lit(1).cast("long"), []
-    for table, half in enumerate((F.col("fp").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("fp", 32))):
-        flips = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.call_function("shiftleft", one, i))
-        ball = F.concat(F.array(F.lit(0).cast("long")), _unset(flips, half))
-        asks.append(_cells(ball, half, table))
-    asked = F.explode(F.concat(*asks))
-    rows = fps.select("fp", asked.alias("x")).select("x.cell", "fp", "x.asks")
-    found = stored(rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(_link_cells(distance, most), "a long, b long"), "near")
-    crowded = found.where("b is null").select("a")
-    links = found.where("b is not null")
-    return links if crowded.isEmpty() else links.unionByName(_by_masks(crowded, distance))
+    open_, links = fps.select("fp", F.lit(0).cast("long").alias("cell"), F.col("fp").alias("rest")), None
+    for width in (64, 32, 16):
+        rows = _dealt(open_, width).repartition("cell").sortWithinPartitions("cell")
+        found = stored(rows.mapInArrow(_link_cells(distance, most if width > 16 else 1 << 62), "a long, b long, cell long, rest long"), "near")
+        told = found.where("b is not null").select("a", "b")
+        links = told if links is None else links.unionByName(told)
+        open_ = found.where("b is null").select(F.col("a").alias("fp"), "cell", "rest")
+        if open_.isEmpty():
+            break
+    return links
 
 
 def simhash_classes(df: DataFrame, shingle: int = 3, distance: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
