@@ -13,8 +13,8 @@ source is many blocks; each round leaves at most two documents of a block, and b
 take many blocks' leftovers. Draws depend on ids, sizes and the seed alone: reruns agree whatever the
 partitions.
 
-Rows: a null or empty text has size 0, and a source without words has target 0. A null source is a source
-of its own, behind all others. Repeated rows and ids are drawn one by one; null ids too. Extra columns
+Rows: a null or empty text has size 0, a very long one is counted whole, and a source without words has target 0. A null source is a source
+of its own, behind all others. Equal sizes and ids are drawn in the order of a hash, equal rows alike in any order. Repeated rows and ids are drawn one by one; null ids too. Extra columns
 are ignored by :func:`mix_sources`. An empty table gives an empty result.
 """
 
@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metricloom.llm.common import WORD, documents, stored
+from metricloom.llm.keeping import PLACE, placed
 
 BLOCK = 1 << 12
 
@@ -204,11 +205,14 @@ def mix_sources(df: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float
 
 
 def take_mix(df: DataFrame, **options) -> DataFrame:
-    """The rows of ``df`` that the mix takes, with all their columns and ``size``, ``copies`` and ``taken``. ``df`` is
-    read from files: a row is known by its place there, so repeated and null ids do not matter."""
-    placed = df.withColumns({"__file": F.xxhash64("_metadata.file_path"), "__row": F.col("_metadata.row_index")})
-    taken = mix_sources(placed, keep=("__file", "__row"), **options).where("copies > 0").select("__file", "__row", "size", "copies", "taken")
-    return placed.drop("size", "copies", "taken").join(taken, ["__file", "__row"]).drop("__file", "__row")
+    """The rows of ``df`` that the mix takes, with all their columns and ``size``, ``copies`` and ``taken`` behind them (a
+    column of ``df`` with such a name is an error: it would be lost). A row is known by its place in the files that
+    ``df`` is read from, or is written to, so repeated and null ids do not matter."""
+    if clash := {"size", "copies", "taken"} & set(df.columns):
+        raise ValueError(f"rename {', '.join(sorted(clash))}: the mix adds columns of that name")
+    own = placed(df)
+    taken = mix_sources(own, keep=PLACE, **options).where("copies > 0").select(*PLACE, "size", "copies", "taken")
+    return own.join(taken, list(PLACE)).drop(*PLACE)
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

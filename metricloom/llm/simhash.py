@@ -13,7 +13,7 @@ two parts of 16 bits, of which again one differs in at most one bit, and then th
 cell of that last level has at most 33 * 17 * 9 * 256 = 1.3 million fingerprints, ten megabytes, whatever the input.
 
 Rows: null and empty texts have the fingerprint zero, which links like any other; a text shorter than a
-shingle is one shingle. Repeated rows and ids stay, null ids too (they are never a component's id, but
+shingle is one shingle, and a very long one is read whole, in parts. A bit set in exactly half the shingles is 0. Repeated rows and ids stay, null ids too (they are never a component's id, but
 carry links). Extra columns are ignored. An empty table gives an empty result.
 """
 

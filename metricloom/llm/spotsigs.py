@@ -18,7 +18,7 @@ blocks, so that no task has to hold a whole cell. Only spots of at least a milli
 million of them, are known to all tasks as frequent.
 
 Rows: null and empty texts have no spot and the empty fingerprint; two such are alike (1.0), and one of
-them is unlike any other (0.0). Null ids come first; of rows with one id the hash of the text tells the
+them is unlike any other (0.0). Very long texts are read whole. Null ids come first; of rows with one id the hash of the text tells the
 order, and equal rows are one another's neighbours. Extra columns are ignored. An empty table gives an
 empty result.
 """
