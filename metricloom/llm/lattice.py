@@ -55,6 +55,8 @@ class Lattice:
     space in front opens words. Bytes that no piece holds, and the space alone, weigh as little as the least."""
 
     def __init__(self, pieces: list[tuple[bytes, float]], stop: float = 0.5):
+        """Pieces of weight 0 can't be used, apart from single bytes."""
+        pieces = [(x, w) for x, w in pieces if w > 0]
         least = min((w for _, w in pieces), default=1.0)
         weights = dict(pieces)
         for b in IN_WORDS:
@@ -64,7 +66,10 @@ class Lattice:
         self.opening = self._normal({x[1:]: w for x, w in weights.items() if x[:1] == b" "}, 0.0)
         self.opening[b""] -= math.log(1 - stop)  # after the space alone the word must go on
         self.inner = self._normal({x: w for x, w in weights.items() if x[:1] != b" "}, math.log(1 - stop))
-        self.open_tables, self.tables = self._tables(self.opening), self._tables(self.inner)
+        #: All pieces in order; a table has their places.
+        self.pieces = [b" " + x for x in self.opening] + list(self.inner)
+        self.logp = np.array([*self.opening.values(), *self.inner.values()])
+        self.open_tables, self.tables = self._tables(self.opening, 0), self._tables(self.inner, len(self.opening))
         self.longest = max(self.tables)
         with np.errstate(over="ignore"):
             self.powers = [np.uint64(1)]
@@ -77,17 +82,17 @@ class Lattice:
         return {x: math.log(w / total) + plus for x, w in weights.items()}
 
     @staticmethod
-    def _tables(logp: dict[bytes, float]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        by: dict[int, list[tuple[int, float]]] = {}
-        for x, p in logp.items():
-            by.setdefault(len(x), []).append((_hash(x), p))
+    def _tables(logp: dict[bytes, float], first: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        by: dict[int, list[tuple[int, int]]] = {}
+        for place, x in enumerate(logp, first):
+            by.setdefault(len(x), []).append((_hash(x), place))
         tables = {}
         for size in sorted(by):
             rows = sorted(by[size])
             keys = np.array([r[0] for r in rows], np.uint64)
             if len(np.unique(keys)) < len(keys):
                 raise ValueError("two pieces have one hash")
-            tables[size] = (keys, np.array([r[1] for r in rows]))
+            tables[size] = (keys, np.array([r[1] for r in rows], np.int32))
         return tables
 
     def log_probabilities(self, words: list[bytes]) -> np.ndarray:
@@ -100,72 +105,147 @@ class Lattice:
                 out[k] = self.walk(w)
         return out
 
-    def forward(self, words: np.ndarray) -> np.ndarray:
-        """The recursion over rows of equal length: only the last places that a piece can reach back to are held."""
-        n, size = words.shape
-        held = self.longest + 1
-        alpha, prefix = np.full((held, n), -np.inf), np.zeros((held, n), np.uint64)
-        opened: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    def _opened(self, words: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(end, rows, pieces) of the edges that open words of equal length."""
+        h = np.zeros(len(words), np.uint64)
         with np.errstate(over="ignore"):
-            h = np.zeros(n, np.uint64)
-            for end in range(min(size, max(self.open_tables)) + 1):
+            for end in range(min(words.shape[1], max(self.open_tables)) + 1):
                 if end:
                     h = h * _BASE + (words[:, end - 1].astype(np.uint64) + np.uint64(1))
                 if end in self.open_tables:
-                    opened[end] = _found(*self.open_tables[end], h)
-            alpha[0, opened[0][0]] = opened[0][1]
-            for end in range(1, size + 1):
-                now = np.full(n, -np.inf)
-                if end in opened:
-                    now[opened[end][0]] = opened[end][1]
+                    yield end, *_found(*self.open_tables[end], h)
+
+    def _inner(self, words: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(end, length, rows, pieces) of all other edges, by end. Only the last places that a piece can reach back
+        to are held."""
+        held = self.longest + 1
+        prefix = np.zeros((held, len(words)), np.uint64)
+        with np.errstate(over="ignore"):
+            for end in range(1, words.shape[1] + 1):
                 h = prefix[(end - 1) % held] * _BASE + (words[:, end - 1].astype(np.uint64) + np.uint64(1))
                 for length, table in self.tables.items():
                     if length > end:
                         break
-                    start = (end - length) % held
-                    rows, logp = _found(*table, h - prefix[start] * self.powers[length])
+                    rows, ids = _found(*table, h - prefix[(end - length) % held] * self.powers[length])
                     if len(rows):
-                        now[rows] = np.logaddexp(now[rows], alpha[start, rows] + logp)
-                alpha[end % held], prefix[end % held] = now, h
+                        yield end, length, rows, ids
+                prefix[end % held] = h
+
+    def forward(self, words: np.ndarray) -> np.ndarray:
+        """The recursion over rows of equal length."""
+        n, size = words.shape
+        held = self.longest + 1
+        opened = {end: (rows, ids) for end, rows, ids in self._opened(words)}
+        alpha, at = np.full((held, n), -np.inf), 0
+
+        def begin(end: int) -> None:
+            alpha[end % held] = -np.inf
+            if end in opened:
+                alpha[end % held, opened[end][0]] = self.logp[opened[end][1]]
+
+        begin(0)
+        for end, length, rows, ids in self._inner(words):
+            while at < end:
+                at += 1
+                begin(at)
+            alpha[end % held, rows] = np.logaddexp(alpha[end % held, rows], alpha[(end - length) % held, rows] + self.logp[ids])
         return alpha[size % held] + self.stop
 
-    def walk(self, word: bytes) -> float:
-        """The same for one word of any length: the edges of a chunk of places at once, then place by place."""
-        data, size, back = np.frombuffer(word, np.uint8), len(word), self.longest
-        alpha = [-math.inf] * back + [self.opening[b""]]  # of the places from -back to 0
-        opened = {k: self.opening[word[:k]] for k in self.open_tables if 0 < k <= size and word[:k] in self.opening}
+    def expected(self, words: list[bytes]) -> np.ndarray:
+        """Expected uses of each piece over all segmentations of all words, by the forward and backward recursions."""
+        total = np.zeros(len(self.pieces))
+        for _, rows in by_length([w if len(w) <= LONG else b"" for w in words]):
+            for at in range(0, len(rows), 1 << 12):  # all edges of a block are held
+                total += self._expected(rows[at : at + (1 << 12)])
+        for w in words:
+            if len(w) > LONG:
+                self._walk_back(w, total)
+        return total
+
+    def _expected(self, words: np.ndarray) -> np.ndarray:
+        n, size = words.shape
+        opened, edges = list(self._opened(words)), list(self._inner(words))
+        alpha, beta = np.full((size + 1, n), -np.inf), np.full((size + 1, n), -np.inf)
+        for end, rows, ids in opened:
+            alpha[end, rows] = self.logp[ids]
+        for end, length, rows, ids in edges:
+            alpha[end, rows] = np.logaddexp(alpha[end, rows], alpha[end - length, rows] + self.logp[ids])
+        beta[size] = 0.0
+        total = np.zeros(len(self.pieces))
+        for end, length, rows, ids in reversed(edges):
+            through = self.logp[ids] + beta[end, rows]
+            beta[end - length, rows] = np.logaddexp(beta[end - length, rows], through)
+            total += np.bincount(ids, np.exp(alpha[end - length, rows] + through - alpha[size, rows]), len(total)) if len(rows) > 64 else 0
+            if len(rows) <= 64:
+                np.add.at(total, ids, np.exp(alpha[end - length, rows] + through - alpha[size, rows]))
+        for end, rows, ids in opened:
+            np.add.at(total, ids, np.exp(self.logp[ids] + beta[end, rows] - alpha[size, rows]))
+        return total
+
+    def _chunk(self, data: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ends, lengths, pieces), by end, of the edges of one word that end after low and up to high."""
+        first = max(0, low + 1 - self.longest)
+        wide, ends, sizes, found = data[first:high].astype(np.uint64) + np.uint64(1), [], [], []
+        with np.errstate(over="ignore"):
+            h = np.zeros(len(wide) + 1, np.uint64)
+            for length in range(1, min(self.longest, len(wide)) + 1):
+                h = h[:-1] * _BASE + wide[length - 1 :]
+                if length in self.tables:
+                    at, ids = _found(*self.tables[length], h)
+                    end = at + first + length
+                    new = end > low
+                    ends.append(end[new])
+                    sizes.append(np.full(new.sum(), length))
+                    found.append(ids[new])
+        end = np.concatenate(ends)
+        order = np.argsort(end, kind="stable")
+        return end[order], np.concatenate(sizes)[order], np.concatenate(found)[order]
+
+    def _opening_of(self, word: bytes) -> dict[int, float]:
+        return {k: self.opening[word[:k]] for k in self.open_tables if k <= len(word) and word[:k] in self.opening}
+
+    def walk(self, word: bytes, kept: list[float] | None = None) -> float:
+        """The same for one word of any length: the edges of a chunk of places at once, then place by place.
+        ``kept`` gets the recursion's value at every place."""
+        data, size, back, opened = np.frombuffer(word, np.uint8), len(word), self.longest, self._opening_of(word)
+        alpha = [-math.inf] * back + [opened[0]]  # of the places from -back to 0
         for low in range(0, size, CHUNK):
-            high, first = min(size, low + CHUNK), max(0, low + 1 - back)
-            wide, ends, sizes, logs = data[first:high].astype(np.uint64) + np.uint64(1), [], [], []
-            with np.errstate(over="ignore"):
-                h = np.zeros(len(wide) + 1, np.uint64)
-                for length in range(1, min(back, len(wide)) + 1):
-                    h = h[:-1] * _BASE + wide[length - 1 :]
-                    if length in self.tables:
-                        at, logp = _found(*self.tables[length], h)
-                        end = at + first + length
-                        new = end > low
-                        ends.append(end[new])
-                        sizes.append(np.full(new.sum(), length))
-                        logs.append(logp[new])
-            end = np.concatenate(ends)
-            order = np.argsort(end, kind="stable")
+            high = min(size, low + CHUNK)
+            end, length, ids = self._chunk(data, low, high)
             alpha = alpha[-back - 1 :] + [opened.get(k, -math.inf) for k in range(low + 1, high + 1)]
-            shift = back - low  # place 0 of the word in alpha
-            for e, length, p in zip((end[order] + shift).tolist(), np.concatenate(sizes)[order].tolist(), np.concatenate(logs)[order].tolist(), strict=True):
-                x, y = alpha[e - length] + p, alpha[e]
-                if x < y:
-                    x, y = y, x
-                alpha[e] = x if y == -math.inf else x + math.log1p(math.exp(y - x))
+            for e, n, p in zip((end + (back - low)).tolist(), length.tolist(), self.logp[ids].tolist(), strict=True):
+                alpha[e] = _log_add(alpha[e - n] + p, alpha[e])
+            if kept is not None:
+                kept += alpha[back + (low > 0) :]
         return alpha[-1] + self.stop
 
+    def _walk_back(self, word: bytes, total: np.ndarray) -> None:
+        """Add the expected uses in one long word."""
+        data, size, alpha = np.frombuffer(word, np.uint8), len(word), []
+        whole = self.walk(word, alpha) - self.stop
+        beta = [-math.inf] * size + [0.0]
+        for low in range((size - 1) // CHUNK * CHUNK, -1, -CHUNK):
+            end, length, ids = self._chunk(data, low, min(size, low + CHUNK))
+            for e, n, p, k in zip(end[::-1].tolist(), length[::-1].tolist(), self.logp[ids][::-1].tolist(), ids[::-1].tolist(), strict=True):
+                through = p + beta[e]
+                beta[e - n] = _log_add(through, beta[e - n])
+                total[k] += math.exp(alpha[e - n] + through - whole)
+        for k, p in self._opening_of(word).items():
+            total[self.pieces.index(b" " + word[:k])] += math.exp(p + beta[k] - whole)
+
+
+def _log_add(x: float, y: float) -> float:
+    if x < y:
+        x, y = y, x
+    return x if y == -math.inf else x + math.log1p(math.exp(y - x))
+
 
-def _found(keys: np.ndarray, values: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which of ``h`` are keys, and their values."""
+def _found(keys: np.ndarray, ids: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``h`` are keys, and their pieces."""
     at = np.searchsorted(keys, h)
     at[at == len(keys)] = 0
     hit = np.flatnonzero(keys[at] == h)
-    return hit, values[at[hit]]
+    return hit, ids[at[hit]]
 
 
 def by_length(words: list[bytes], most: int = 1 << 14) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -1,7 +1,9 @@
 """Language-model scores from a subword lattice (operator 1).
 
-A word's lattice has the pieces of an existing vocabulary, whose scores, normalised once, weight all
-segmentations: the forward recursion in log space sums over all of them (``lattice.py``). A word seen in
+A word's lattice has the pieces of an existing vocabulary, whose scores weight all segmentations: the forward
+recursion in log space sums over all of them (``lattice.py``). The vocabularies at hand are byte-pair models, whose
+scores are ranks; one expectation over the distinct training words (``rounds``; 0: the ranks alone) turns them into
+unigram scores, which are normalised and then fixed. A word seen in
 training is one more edge of its own lattice: it takes its discounted count, and the pieces have the
 discounted rest (absolute discounting), so unseen words are spelled. Counts are kept by class of document (by
 default its language); a text's probability is the sum over classes of the class's share times the product over
@@ -69,6 +71,35 @@ def _key(word: bytes) -> bytes:
     return word if len(word) <= HEAD_BYTES else b" " + hashlib.md5(word).digest()
 
 
+def _expect(lattice):
+    """Distinct words to (piece, expected uses)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(lattice.value.pieces))
+        for batch in batches:
+            total += lattice.value.expected(batch.column(0).to_pylist())
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["piece", "uses"])
+
+    return run
+
+
+def unigram_scores(lattice: Lattice, words: DataFrame, rounds: int) -> Lattice:
+    """The lattice with its pieces weighted by their expected uses in ``words(word)``. A round's result has a number
+    for each piece: as large as the vocabulary, not the corpus."""
+    sc = words.sparkSession.sparkContext
+    n = words.count() if rounds else 0
+    for _ in range(rounds if n else 0):
+        now = sc.broadcast(lattice)
+        uses = words.mapInArrow(_expect(now), "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).toArrow()
+        total = np.full(len(lattice.pieces), 0.01)
+        total[uses["piece"].to_numpy()] += uses["uses"].to_numpy()
+        inner = total[len(lattice.opening) :].sum()
+        lattice = Lattice(list(zip(lattice.pieces, total.tolist(), strict=True)), n / (n + inner))
+        now.unpersist()
+    return lattice
+
+
 def _spell(lattice):
     """Rows (word, ...) with the lattice's log probability of the word behind the same columns."""
 
@@ -122,14 +153,14 @@ def _step():
 
 
 def score_documents(
-    df: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", class_col: str | None = "lang", held_out: int = 10, classes: int = 16, stop: float = 0.5
+    df: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", class_col: str | None = "lang", held_out: int = 10, classes: int = 16, stop: float = 0.5, rounds: int = 1
 ) -> DataFrame:
     """One row for each row of ``df``: id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``,
     ``score`` and ``lattice_score``, these three log10. Trains on rows whose crc32(id) mod ``held_out`` is not 0; the
     most frequent ``classes`` values of ``class_col`` are classes and all other values are one more. ``vocabulary`` is
-    a sentencepiece model, ``stop`` the probability that a word ends after a piece."""
+    a sentencepiece model, ``stop`` the probability that a word ends after a piece (learned by ``rounds``)."""
     spark = df.sparkSession
-    lattice = spark.sparkContext.broadcast(Lattice(load_pieces(vocabulary), stop))
+    pieces = load_pieces(vocabulary)
     class_of = F.col(class_col).cast("string") if class_col else F.lit(None).cast("string")
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), class_of.alias("cls"), (id_crc(F.col(id_col)) % held_out != 0).alias("train"))
     shares = docs.where("train").groupBy("cls").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "cls")
@@ -146,6 +177,7 @@ def score_documents(
     total, distinct = (seen[0] or 0) + n_docs, seen[1] + (n_docs > 0)
     size, types = [(seen[2 + 2 * i] or 0) + in_class[i] for i in range(k)], [seen[3 + 2 * i] for i in range(k)]
 
+    lattice = spark.sparkContext.broadcast(unigram_scores(Lattice(pieces, stop), counts.where("c > 0").select("word"), rounds))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in counts.schema)
     base = lambda c: F.log10((c + 0.1) / (total + 0.1 * (distinct + 1)))
 

@@ -42,6 +42,34 @@ def test_words_match_brute_force_at_every_length(monkeypatch):
     assert [lattice.walk(w) for w in found] == pytest.approx(want, rel=1e-9)
 
 
+def test_expected_uses_are_those_of_all_segmentations(monkeypatch):
+    rng = random.Random(5)
+    lattice = Lattice(PIECES)
+    for w in [bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 9))) for _ in range(40)]:
+        ways = []  # (log probability, pieces) of each segmentation
+
+        def go(at, logp, used):
+            if at == len(w):
+                ways.append((logp, used))
+            for x, p in lattice.inner.items():
+                if w.startswith(x, at):
+                    go(at + len(x), logp + p, [*used, x])
+
+        for x, p in lattice.opening.items():
+            if w.startswith(x):
+                go(len(x), p, [b" " + x])
+        whole = sum(math.exp(p) for p, _ in ways)
+        want = dict.fromkeys(lattice.pieces, 0.0)
+        for p, used in ways:
+            for x in used:
+                want[x] += math.exp(p) / whole
+        assert dict(zip(lattice.pieces, lattice.expected([w]), strict=True)) == pytest.approx(want, abs=1e-9)
+        monkeypatch.setattr("metricloom.llm.lattice.LONG", 0)
+        monkeypatch.setattr("metricloom.llm.lattice.CHUNK", 3)
+        assert dict(zip(lattice.pieces, lattice.expected([w]), strict=True)) == pytest.approx(want, abs=1e-9)
+        monkeypatch.undo()
+
+
 def test_masses_of_words_sum_to_one():
     lattice = Lattice([(x, w * 1e6) for x, w in PIECES if len(x.strip()) < 3], stop=0.6)  # other bytes weigh next to nothing
     rows = [sum(math.exp(p) for p in lattice.log_probabilities([bytes(w) for w in itertools.product(b"abc", repeat=n)])) for n in range(1, 9)]
@@ -70,7 +98,7 @@ def test_contract_columns_and_head_against_tail(spark, monkeypatch):
     rows += [(200, None, "en"), (201, "", "fr"), (7, "É é\x0b A b " + "x" * 2000, "en"), (7, rows[7][1], "en"), (None, "no id", "en")]
     df = documents(spark, [(*r, "s") for r in rows]).selectExpr("*", "1 as n", "2 as word")
     sort = lambda out: sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6), round(r.lattice_score, 6)) for r in out.collect())
-    got = sort(lm_score.score_documents(df))
+    got = sort(lm_score.score_documents(df, rounds=0))
     crc = lambda d: zlib.crc32(b"" if d is None else str(d).encode())
     tokens = lambda t: [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")] + ["</s>"]
     count, by = {}, {}
@@ -105,7 +133,7 @@ def test_contract_columns_and_head_against_tail(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "HEAD", 5)  # nearly all words by the join
     monkeypatch.setattr(lm_score, "HEAD_BYTES", 2)
     monkeypatch.setattr(lm_score, "FLUSH", 20)
-    assert sort(lm_score.score_documents(df)) == got
+    assert sort(lm_score.score_documents(df, rounds=0)) == got
     assert lm_score.score_documents(df.limit(0)).count() == 0
 
 
