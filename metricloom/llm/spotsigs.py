@@ -1,31 +1,33 @@
 """Document fingerprints by SpotSigs (operator 8).
 
-A spot is a common word (an anchor) with the chain of content words that follow it; the start of a text
-is an anchor too. The set of a text's spots is its fingerprint, written as the sorted 32-bit hashes of
-the spots. Two fingerprints are compared by Jaccard likeness.
+A spot is an anchor with the chain of content words that follow it. Anchors are common words, the start of a
+text and one content word in eight, picked by its hash, so that texts in any language and tables have anchors all over. A text
+whose start is its only anchor has one spot, all its content words. The set of a text's spots is its fingerprint,
+written as the sorted 64-bit hashes of the spots. Two fingerprints are compared by Jaccard likeness.
 
-Near-duplicates (:func:`spot_classes`): a pair of sets with likeness ``least`` or more has lengths whose
-ratio is at least that, so sets are dealt to ranges of lengths of which such a pair shares one or
-touches two neighbours. In a range, sets meet in a cell for each of their rarest spots (the prefix: of such
-a pair at least one is the same). A cell links what it holds by a spanning forest, with likeness computed
-only where lengths allow it: a set that has been reached is not compared again.
+Near-duplicates (:func:`spot_classes`): sets are dealt to ranges of lengths such that a pair of likeness ``least`` or
+more shares a range or touches two neighbours. In a range, sets meet in a cell for each of their rarest spots (the
+prefix: of such a pair at least one is the same). Every set of a cell is first compared with one of them,
+the same for the whole cell, by pruned likeness. Cells in which more than one component is left then
+link what they hold by a spanning forest, with likeness computed only where lengths allow it.
 
 Scale: each text is shuffled once, by ranges of ids, so that neighbours meet; the first text of a range
 also goes to the range before it. The ranges' bounds, eight bytes for about a thousand rows, are all that
-the driver sees. For classes, equal sets are one row from the start; a set goes to as many cells as its
-prefix is long, a fifth of its spots at 0.8; a cell with more than ``most`` spots is dealt to pairs of its
-blocks, so that no task has to hold a whole cell. Only spots of at least a millionth of all, at most a
-million of them, are known to all tasks as frequent.
+the driver sees. For classes, a cell's row is two numbers, combined before the shuffle, and whole sets
+travel only where sets that differ meet in a cell; copies of a set are one there. A cell with more
+than ``most`` spots is dealt to pairs of its blocks, so that no task has to hold a whole cell. Only spots of at least a
+millionth of all, at most a million of them, are known to all tasks as frequent.
 
-Rows: null and empty texts have no spot and the empty fingerprint; two such are alike (1.0), and one of
+Rows: null and empty texts have no spot and the empty fingerprint; two such are alike (1.0) and of one class, and one of
 them is unlike any other (0.0). Very long texts are read whole. Null ids come first; of rows with one id the hash of the text tells the
-order, and equal rows are one another's neighbours. Extra columns are ignored. An empty table gives an
-empty result.
+order, and equal rows are one another's neighbours. A class of null ids alone has the null class. Extra
+columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from metricloom.llm.common import arrow_schema, blobs, ddl, documents, stored, words
+from metricloom.llm.common import arrow_schema, blobs, ddl, documents, release, slices, stored, words
 from metricloom.llm.components import connected_components
 
 #: Common words of English, German, French and Spanish.
@@ -60,10 +62,13 @@ def spots(blob: bytes, anchors: frozenset[bytes], chain: int = 2, distance: int
             found.append((w, len(content)))
         else:
             content.append(w)
+            if not zlib.crc32(w) & 7:
+                found.append((w, len(content)))
     if not content:
         return {b" ".join(w for w, _ in found)} if len(found) > 1 else set()
     span, n = chain * distance, len(content)
-    return {b" ".join((w, *content[k : k + span : distance])) for w, k in found if k < n}
+    out = {b" ".join((w, *content[k : k + span : distance])) for w, k in found if k < n}
+    return out if len(out) > 1 else {b" ".join((b"^", *content))}
 
 
 class Prints:
@@ -73,11 +78,11 @@ class Prints:
         self.anchors, self.chain, self.distance = frozenset(a.encode() for a in anchors), chain, distance
 
     def __call__(self, blob: bytes) -> np.ndarray:
-        return np.unique(np.fromiter(map(xxhash.xxh32_intdigest, spots(blob, self.anchors, self.chain, self.distance)), np.uint32))
+        return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, spots(blob, self.anchors, self.chain, self.distance)), np.uint64))
 
 
 def written(hashes: np.ndarray) -> str:
-    return hashes.astype(">u4").tobytes().hex()
+    return hashes.astype(">u8").tobytes().hex()
 
 
 def likeness(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
@@ -107,42 +112,47 @@ def _key(i, h) -> tuple:
     return (i is not None, i, h) if i is not None else (False, 0, h)
 
 
-def _deal(firsts):
-    """Rows (id, h, text) to their range, and the first of a range also to the range before."""
+def _deal(firsts, leads: bool):
+    """Rows (id, h, value) to their range, with ``leads`` the first of a range also to the range before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = firsts.value
         for batch in batches:
             keys = [_key(i, h) for i, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             own = [bisect_right(cuts, k) - 1 for k in keys]
-            lead = [r for r, (k, b) in enumerate(zip(keys, own, strict=True)) if cuts[b] == k]
+            lead = [r for r, (k, b) in enumerate(zip(keys, own, strict=True)) if leads and cuts[b] == k]
             rows = pa.array([*range(len(keys)), *lead], pa.int32())
             ranges = pa.array([*own, *((own[r] - 1) % len(cuts) for r in lead)], pa.int32())
-            after = pa.array([False] * len(keys) + [True] * len(lead))
-            yield pa.RecordBatch.from_arrays([ranges, after, *(c.take(rows) for c in batch.columns)], names=["range", "after", "id", "h", "text"])
+            after = pa.array([False] * len(keys) + [True] * len(lead), pa.bool_())
+            yield pa.RecordBatch.from_arrays([ranges, after, *(c.take(rows) for c in batch.columns)], names=["range", "after", "id", "h", "value"])
 
     return run
 
 
 def _neighbours(make: Prints, out: pa.Schema):
-    """Rows (range, after, id, text), sorted, to one row for each row that is not ``after``."""
+    """Rows (range, after, is_text, id, h, text, class), sorted, to one row for each text that is not ``after``.
+    A row that is no text tells the class of the texts behind it with its id and h."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # range, id, text, fingerprint
-        for batch in batches:
+        held = told = None  # (range, id, text, fingerprint, class), (id, h, class)
+        for batch in slices(batches):
             rows = []
-            for place, after, i, blob in zip(*(batch.column(k).to_pylist() for k in range(3)), blobs(batch.column(3)), strict=True):
+            columns = [batch.column(k).to_pylist() for k in (0, 1, 2, 3, 4, 6)]
+            for place, after, is_text, i, h, root, blob in zip(*columns, blobs(batch.column(5)), strict=True):
+                if not is_text:
+                    told = (i, h, root)
+                    continue
                 if held and held[0] != place:
                     raise RuntimeError(f"range {held[0]} has no end")
                 text = blob.decode("utf-8", "replace")
                 mine = None if after and not held else make(blob)
                 if held:
-                    _, own_id, own, its = held
+                    _, own_id, own, its, its_class = held
                     cut = len(own) // 4
                     edited = (own[: len(own) - cut] + text[:cut]).encode()
                     other = make(edited) if cut else its
-                    rows.append((own_id, len(own), hashlib.sha256(edited).hexdigest(), written(its), written(other), likeness(its, other), likeness(its, mine)))
-                held = None if after else (place, i, text, mine)
+                    rows.append((own_id, len(own), hashlib.sha256(edited).hexdigest(), written(its), written(other), likeness(its, other), likeness(its, mine), its_class))
+                held = None if after else (place, i, text, mine, told[2] if told and told[:2] == (i, h) else None)
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
         if held:
@@ -151,72 +161,104 @@ def _neighbours(make: Prints, out: pa.Schema):
     return run
 
 
-def with_neighbours(df: DataFrame, make: Prints | None = None, id_col: str = "doc_id", text_col: str = "text", rows_a_range: int = 1 << 10) -> DataFrame:
+def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("value"))
+
+
+def with_neighbours(
+    df: DataFrame, make: Prints | None = None, id_col: str = "doc_id", text_col: str = "text", rows_a_range: int = 1 << 10, least: float | None = None
+) -> DataFrame:
     """One row for each row of ``df``: id, ``n_chars``, ``edited_sha256``, ``fingerprint``, ``edited_fingerprint``,
-    ``near_edited`` and ``near_next``. The edited text has, for its last quarter, the first as many code
-    points of the next row by id (after the last row: of the first)."""
+    ``near_edited``, ``near_next`` and ``class_id``. The edited text has, for its last quarter, the first as many code
+    points of the next row by id (after the last row: of the first). The class is that of :func:`spot_classes` for
+    ``least``, null without it."""
     spark, make = df.sparkSession, make or Prints()
-    keyed = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    keyed = _keyed(df, id_col, text_col)
     kind = df.schema[id_col].dataType
-    schema = T.StructType([T.StructField(id_col, kind), *ddl("n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")])
+    measured = "n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = T.StructType([T.StructField(id_col, kind), *ddl(measured), T.StructField("class_id", kind)])
     ids = keyed.select("id", "h")
     n = max(1, min(1 << 16, -(-ids.count() // rows_a_range)))
-    least = ids.repartitionByRange(n, "id", "h").groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct(F.col("id").isNotNull().alias("k"), "id", "h")).alias("m"))
-    cuts = sorted({_key(r.m.id, r.m.h) for r in least.collect()})
+    first = ids.repartitionByRange(n, "id", "h").groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct(F.col("id").isNotNull().alias("k"), "id", "h")).alias("m"))
+    cuts = sorted({_key(r.m.id, r.m.h) for r in first.collect()})
     if not cuts:
         return spark.createDataFrame([], schema)
-    dealt = T.StructType([*ddl("range int, after boolean"), T.StructField("id", kind), *ddl("h bigint, text string")])
-    routed = keyed.mapInArrow(_deal(spark.sparkContext.broadcast(cuts)), dealt).repartition("range")
-    return routed.sortWithinPartitions("range", "after", "id", "h").select("range", "after", "id", "text").mapInArrow(_neighbours(make, arrow_schema(schema)), schema)
+    places = spark.sparkContext.broadcast(cuts)
 
+    def dealt(rows: DataFrame, leads: bool) -> DataFrame:
+        fields = T.StructType([*ddl("range int, after boolean"), T.StructField("id", kind), *ddl("h bigint"), T.StructField("value", rows.schema["value"].dataType)])
+        return rows.mapInArrow(_deal(places, leads), fields)
 
-def fingerprint_sets(df: DataFrame, make: Prints | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id``, ``spots`` (the sorted 32-bit hashes, little-endian) and ``n`` of each row."""
-    make = make or Prints()
-    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), *ddl("spots binary, n int")])
-    out = arrow_schema(schema)
+    routed = dealt(keyed, True).select("range", "after", F.lit(True).alias("is_text"), "id", "h", F.col("value").alias("text"), F.lit(None).cast(kind).alias("class_id"))
+    if least is not None:
+        docs, classes = _classes(keyed, make, least)
+        each = docs.join(classes, "key").groupBy("id", "h").agg(F.min("class_id").alias("value"))
+        told = dealt(each.select("id", "h", "value"), False)
+        routed = routed.unionByName(told.select("range", "after", F.lit(False).alias("is_text"), "id", "h", F.lit(None).cast("string").alias("text"), F.col("value").alias("class_id")))
+    sorted_rows = routed.repartition("range").sortWithinPartitions("range", "after", "id", "h", "is_text")
+    return sorted_rows.mapInArrow(_neighbours(make, arrow_schema(schema)), schema)
+
+
+def _sets_of(make: Prints, out: pa.Schema):
+    """Rows (id, h, text) to (id, h, key, short, spots, n): the digest of the set, its first eight bytes, the sorted hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [make(x) for x in blobs(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int32())], schema=out)
+        for batch in slices(batches):
+            sets = [make(x) for x in blobs(batch.column(2))]
+            keys = [hashlib.md5(x.tobytes()).digest() for x in sets]
+            short = np.frombuffer(b"".join(x[:8] for x in keys), np.int64)
+            columns = [pa.array(keys, pa.binary()), pa.array(short), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int32())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], schema=out)
 
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    return run
 
 
 def _count_spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sets to (spot, sets with it), summed in batches."""
     for batch in batches:
-        spot, n = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint32), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(spot.astype(np.int64)), pa.array(n)], names=["spot", "n"])
+        spot, n = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(spot.view(np.int64)), pa.array(n)], names=["spot", "n"])
 
 
-def length_ranges(least: float, longest: int) -> np.ndarray:
-    """First length of each range."""
+def length_ranges(least: float, longest: int, wide: int = 4) -> np.ndarray:
+    """First length of each range. A range is so wide that most sets have no partner in the next."""
     starts = [1]
     while starts[-1] <= longest:
-        starts.append(int(starts[-1] / least + 1e-9) + 1)
+        starts.append(int(starts[-1] / least**wide + 1e-9) + 1)
     return np.array(starts)
 
 
 def _to_cells(frequent, least: float, starts: np.ndarray):
-    """Sets (key, spots) to one row for each spot of their prefix and for their range of lengths and the next."""
+    """Sets (short, spots) to one row (cell, short) for each spot of their prefix, in their range of lengths and
+    in the next one if that has lengths of partners."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spots, counts = frequent.value
-        for batch in batches:
-            cells, rows = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
-            for r, blob in enumerate(batch.column(1).to_pylist()):
-                x = np.frombuffer(blob, np.uint32)
+        for batch in slices(batches):
+            cells, shorts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for short, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x = np.frombuffer(blob, np.uint64)
                 at = np.searchsorted(spots, x)
                 at[at == len(spots)] = 0
                 known = counts[at] * (spots[at] == x) if len(spots) else np.zeros(len(x), np.int64)
-                prefix = x[np.lexsort((x, known))][: len(x) - int(np.ceil(least * len(x) - 1e-9)) + 1].astype(np.int64)
+                prefix = x[np.lexsort((x, known))][: len(x) - int(np.ceil(least * len(x) - 1e-9)) + 1]
                 own = int(np.searchsorted(starts, len(x), side="right"))
-                cells += [prefix << 16 | own, prefix << 16 | own + 1]
-                rows.append(np.full(2 * len(prefix), r, np.int32))
-            take = pa.array(np.concatenate(rows))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells)), *(c.take(take) for c in batch.columns)], names=["cell", "key", "spots", "n"])
+                ranges = [own, own + 1] if len(x) / least + 1e-9 >= starts[own] else [own]
+                cells += [prefix + np.uint64(r * 0x9E3779B97F4A7C15 % (1 << 64)) for r in ranges]
+                shorts.append(np.full(len(ranges) * len(prefix), short, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells).view(np.int64)), pa.array(np.concatenate(shorts))], names=["cell", "short"])
+
+    return run
+
+
+def _verified(least: float):
+    """Rows (a, b, spots of a, spots of b) to the pairs (a, b) of likeness ``least``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = ([np.frombuffer(x, np.uint64) for x in batch.column(k).to_pylist()] for k in (2, 3))
+            near = pa.array([likeness(x, y, least) > 0 for x, y in zip(*sets, strict=True)], pa.bool_())
+            yield batch.select([0, 1]).filter(near)
 
     return run
 
@@ -226,7 +268,7 @@ def set_forest(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
     order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
     sizes = np.array([len(sets[i]) for i in order], np.int64)
     bounds = np.append(0, np.cumsum(sizes))
-    spots = np.concatenate([np.zeros(0, np.uint32), *(sets[i] for i in order)])
+    spots = np.concatenate([np.zeros(0, np.uint64), *(sets[i] for i in order)])
     owner = np.repeat(np.arange(len(order)), sizes)
     waiting, out = np.ones(len(order), bool), []
     for first in range(len(order)):
@@ -271,37 +313,67 @@ def _link_groups(least: float):
                     found += links()
                     now = group
                 keys.append(key)
-                sets.append(np.frombuffer(blob, np.uint32))
+                sets.append(np.frombuffer(blob, np.uint64))
             yield told(found)
         yield told(links())
 
     return run
 
 
-def spot_classes(df: DataFrame, make: Prints | None = None, least: float = 0.8, most: int = 1 << 22, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``df``: id and ``class_id``, the smallest id that links of likeness ``least`` reach.
-    Texts without spots are one class."""
+def _classes(keyed: DataFrame, make: Prints, least: float, most: int = 1 << 22) -> tuple[DataFrame, DataFrame]:
+    """Of rows (id, h, text) the stored tables (id, h, key), with a row for each, and (key, class_id)."""
     if not 0 < least <= 1:
         raise ValueError("the least likeness is above 0 and at most 1")
-    spark = df.sparkSession
-    docs = stored(fingerprint_sets(df, make, id_col, text_col).withColumn("key", F.md5("spots")), "spots")
-    each = stored(docs.groupBy("key").agg(F.min("id").alias("least_id"), F.any_value("spots").alias("spots"), F.any_value("n").alias("n")), "sets")
-    total, longest = each.agg(F.sum(F.col("n").cast("long")), F.max("n")).first()
+    spark = keyed.sparkSession
+    schema = T.StructType([T.StructField("id", keyed.schema["id"].dataType), *ddl("h bigint, key binary, short bigint, spots binary, n int")])
+    every = stored(keyed.mapInArrow(_sets_of(make, arrow_schema(schema)), schema), "spots")
+    docs, some = stored(every.select("id", "h", F.hex("key").alias("key")), "docs"), every.where("n > 0")
+    total, longest = some.agg(F.sum(F.col("n").cast("long")), F.max("n")).first()
     limit = max(50, (total or 0) // 1_000_000)
-    counts = each.select("spots").mapInArrow(_count_spots, "spot bigint, n bigint").groupBy("spot").agg(F.sum("n").alias("n")).where(F.col("n") >= limit).toArrow().sort_by("spot")
-    frequent = spark.sparkContext.broadcast((counts["spot"].to_numpy().astype(np.uint32), counts["n"].to_numpy()))
-    cells = each.where("n > 0").select("key", "spots", "n").mapInArrow(_to_cells(frequent, least, length_ranges(least, longest or 0)), "cell bigint, key string, spots binary, n int")
-    sizes = cells.groupBy("cell").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("sets")).where("sets > 1")
-    met = cells.join(sizes.select("cell", F.ceil(F.col("size") / most).cast("int").alias("blocks")), "cell").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    grouped = met.withColumn("other", other).select(F.xxhash64("cell", F.least("block", "other"), F.greatest("block", "other")).alias("group"), "key", "spots")
-    links = stored(grouped.repartition("group").sortWithinPartitions("group").mapInArrow(_link_groups(least), "a string, b string"), "spot-links")
+    counts = some.select("spots").mapInArrow(_count_spots, "spot bigint, n bigint").groupBy("spot").agg(F.sum("n").alias("n")).where(F.col("n") >= limit).toArrow()
+    known = counts["spot"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(known)
+    frequent = spark.sparkContext.broadcast((known[order], counts["n"].to_numpy()[order]))
+    # a cell matters if it has two sets that differ; the set with the least number is compared with all others
+    cells = some.select("short", "spots").mapInArrow(_to_cells(frequent, least, length_ranges(least, longest or 0)), "cell bigint, short bigint")
+    shared = stored(cells.groupBy("cell").agg(F.min("short").alias("lead"), F.max("short").alias("last")).where("lead <> last").select("cell", "lead"), "cells")
+    met = stored(cells.join(shared, "cell").distinct(), "met")
+    release(shared)
+    found = met.select("short").union(met.select("lead")).distinct()
+    sets = stored(some.join(found, "short", "left_semi").groupBy("short", F.hex("key").alias("key")).agg(F.any_value("spots").alias("spots"), F.any_value("n").alias("n")), "sets")
+    release(every)
+    a, b = (sets.select(F.col("short").alias(of), F.col("key").alias(x), F.col("spots").alias(f"{x}_spots")) for of, x in (("short", "a"), ("lead", "b")))
+    pairs = met.where("short <> lead").select("short", "lead").distinct().join(a, "short").join(b, "lead").select("a", "b", "a_spots", "b_spots")
+    links = stored(pairs.mapInArrow(_verified(least), "a string, b string"), "spot-links")
     roots = stored(connected_components(links).withColumnRenamed("node", "key"), "roots")
-    linked = roots.join(each.select("key", "least_id"), "key")
+    # cells of three and more sets in more than one component
+    named = sets.select("short", "key", "n").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    left = stored(met.select("cell", "short").join(named, "short"), "left")
+    mixed = left.groupBy("cell").agg(F.sum(F.col("n").cast("long")).alias("size"), F.count(F.lit(1)).alias("sets"), F.min("root").alias("low"), F.max("root").alias("high"))
+    mixed = mixed.where("low <> high and sets > 2").select("cell", F.ceil(F.col("size") / most).cast("int").alias("blocks"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    blocks = left.join(mixed, "cell").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("other", other)
+    grouped = blocks.select(F.xxhash64("cell", F.least("block", "other"), F.greatest("block", "other")).alias("group"), "key").join(sets.select("key", "spots"), "key").select("group", "key", "spots")
+    more = stored(grouped.repartition("group").sortWithinPartitions("group").mapInArrow(_link_groups(least), "a string, b string"), "spot-links")
+    release(left, met, sets)
+    if not more.isEmpty():
+        release(roots)
+        roots = stored(connected_components(links.union(more)).withColumnRenamed("node", "key"), "roots")
+    release(links, more)
+    each = docs.groupBy("key").agg(F.min("id").alias("least_id"))
+    linked = roots.join(each, "key")
     moved = linked.join(linked.groupBy("root").agg(F.min("least_id").alias("class_id")), "root").select("key", "class_id")
-    every = each.join(moved, "key", "left").select("key", F.coalesce("class_id", "least_id").alias("class_id"))
-    return docs.select("id", "key").join(every, "key").select(F.col("id").alias(id_col), "class_id")
+    classes = stored(each.join(moved, "key", "left").select("key", F.coalesce("class_id", "least_id").alias("class_id")), "classes")
+    release(roots)
+    return docs, classes
+
+
+def spot_classes(df: DataFrame, make: Prints | None = None, least: float = 0.8, most: int = 1 << 22, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of ``df``: id and ``class_id``, the smallest id that links of likeness ``least`` reach.
+    Texts without spots are one class."""
+    docs, classes = _classes(_keyed(df, id_col, text_col), make or Prints(), least, most)
+    return docs.join(classes, "key").select(F.col("id").alias(id_col), "class_id")
 
 
 def op8_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_neighbours(documents(spark, sf_dir))
+    return with_neighbours(documents(spark, sf_dir), least=0.8)

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import zlib
 
 from metricloom.llm import spotsigs
 from tests.llm.test_simhash import brute_roots
@@ -12,10 +13,12 @@ def brute_spots(text):
     found = [w.strip(".,;:!?()[]{}\"'*#%&$|-_/<>=+`~") or w for w in (text or "").lower().split()]
     out = set()
     for i, w in [(-1, "^"), *enumerate(found)]:
-        if i < 0 or w in ANCHORS:
+        if i < 0 or w in ANCHORS or zlib.crc32(w.encode()) % 8 == 0:
             chain = [x for x in found[i + 1 :] if x not in ANCHORS][:2]
             if chain:
                 out.add(" ".join([w, *chain]))
+    if len(out) == 1 and any(w not in ANCHORS for w in found):
+        return {" ".join(["^", *(w for w in found if w not in ANCHORS)])}
     return out or ({" ".join(["^", *found])} if found else set())
 
 
@@ -98,6 +101,26 @@ def test_classes_match_brute_force(spark):
     assert spotsigs.spot_classes(df.limit(0)).count() == 0
 
 
+def test_query_has_classes_by_its_own_rows(spark):
+    """Repeated and null ids, equal rows, and texts without anchors that begin alike."""
+    rng = random.Random(5)
+    base = prose(rng, 150)
+    rows = [(4, base), (4, base), (9, edited(rng, base, 0.01)), (4, prose(rng, 80)), (None, None), (None, ""), (None, "nil"), (2, base + " w1")]
+    rows += [(20, "zz1 zz2 qq1 qq4"), (21, "zz1 zz2 qq5 qq6")]
+    got = spotsigs.with_neighbours(documents(spark, rows), rows_a_range=2, least=0.8).collect()
+    assert sorted((str(r.doc_id), r.n_chars, str(r.class_id)) for r in got) == sorted(
+        (str(i), len(t or ""), str(2 if t and t.startswith(base[:100]) or i == 9 else i)) for i, t in rows
+    )
+    assert {r.class_id for r in spotsigs.with_neighbours(documents(spark, rows)).collect()} == {None}
+
+
+def test_words_beyond_the_anchors_count():
+    make = spotsigs.Prints()
+    table = " ".join(f"v{k}" for k in range(400))
+    other = table.rsplit(" ", 100)[0] + " " + " ".join(f"u{k}" for k in range(100))
+    assert len(make(table.encode())) > 20 and 0.4 < spotsigs.likeness(make(table.encode()), make(other.encode())) < 0.9
+
+
 def test_forest_connects_what_pairs_do():
     rng = random.Random(2)
     import numpy as np
