@@ -15,8 +15,8 @@ Scale: each text is shuffled once, by ranges of ids, so that neighbours meet; th
 also goes to the range before it. The ranges' bounds, eight bytes for about a thousand rows, are all that
 the driver sees. For classes, a cell's row is two numbers, combined before the shuffle, and whole sets
 travel only where sets that differ meet in a cell; copies of a set are one there. A cell with more
-than ``most`` spots is dealt to pairs of its blocks, so that no task has to hold a whole cell. Only spots of at least a
-millionth of all, at most a million of them, are known to all tasks as frequent.
+than ``most`` spots is dealt to pairs of its blocks, so that no task has to hold a whole cell. How rare a spot is, is
+read from counts of 2^18 buckets of spots, two megabytes that all tasks know.
 
 Rows: null and empty texts have no spot and the empty fingerprint; two such are alike (1.0) and of one class, and one of
 them is unlike any other (0.0). Very long texts are read whole. Null ids come first; of rows with one id the hash of the text tells the
@@ -48,6 +48,8 @@ ANCHORS = tuple(
     "le la les et des en un une du dans est que pour qui au par sur pas plus ne se ce il sont avec "
     "el los las y del se lo una por con no para su al como más pero sus o".split()
 )
+#: Spots are ordered by how many there are in their bucket: what is frequent stands out against what is spread evenly.
+BUCKET_BITS = 18
 _STRIP = b".,;:!?()[]{}\"'*#%&$|-_/<>=+`~"
 
 
@@ -214,10 +216,13 @@ def _sets_of(make: Prints, out: pa.Schema):
 
 
 def _count_spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sets to (spot, sets with it), summed in batches."""
-    for batch in batches:
-        spot, n = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(spot.view(np.int64)), pa.array(n)], names=["spot", "n"])
+    """Sets to (bucket, spots of sets in it), summed in the task. A spot's bucket is its first bits."""
+    n = np.zeros(1 << BUCKET_BITS, np.int64)
+    for batch in slices(batches):
+        spots = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64)
+        n += np.bincount((spots >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(n))
+    used = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n[used])], names=["bucket", "n"])
 
 
 def length_ranges(least: float, longest: int, wide: int = 4) -> np.ndarray:
@@ -228,20 +233,18 @@ def length_ranges(least: float, longest: int, wide: int = 4) -> np.ndarray:
     return np.array(starts)
 
 
-def _to_cells(frequent, least: float, starts: np.ndarray):
+def _to_cells(counted, least: float, starts: np.ndarray):
     """Sets (short, spots) to one row (cell, short) for each spot of their prefix, in their range of lengths and
     in the next one if that has lengths of partners."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spots, counts = frequent.value
+        counts = counted.value
         for batch in slices(batches):
             cells, shorts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for short, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 x = np.frombuffer(blob, np.uint64)
-                at = np.searchsorted(spots, x)
-                at[at == len(spots)] = 0
-                known = counts[at] * (spots[at] == x) if len(spots) else np.zeros(len(x), np.int64)
-                prefix = x[np.lexsort((x, known))][: len(x) - int(np.ceil(least * len(x) - 1e-9)) + 1]
+                often = counts[(x >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
+                prefix = x[np.lexsort((x, often))][: len(x) - int(np.ceil(least * len(x) - 1e-9)) + 1]
                 own = int(np.searchsorted(starts, len(x), side="right"))
                 ranges = [own, own + 1] if len(x) / least + 1e-9 >= starts[own] else [own]
                 cells += [prefix + np.uint64(r * 0x9E3779B97F4A7C15 % (1 << 64)) for r in ranges]
@@ -327,21 +330,21 @@ def _classes(keyed: DataFrame, make: Prints, least: float, most: int = 1 << 22)
     spark = keyed.sparkSession
     schema = T.StructType([T.StructField("id", keyed.schema["id"].dataType), *ddl("h bigint, key binary, short bigint, spots binary, n int")])
     every = stored(keyed.mapInArrow(_sets_of(make, arrow_schema(schema)), schema), "spots")
-    docs, some = stored(every.select("id", "h", F.hex("key").alias("key")), "docs"), every.where("n > 0")
-    total, longest = some.agg(F.sum(F.col("n").cast("long")), F.max("n")).first()
-    limit = max(50, (total or 0) // 1_000_000)
-    counts = some.select("spots").mapInArrow(_count_spots, "spot bigint, n bigint").groupBy("spot").agg(F.sum("n").alias("n")).where(F.col("n") >= limit).toArrow()
-    known = counts["spot"].to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(known)
-    frequent = spark.sparkContext.broadcast((known[order], counts["n"].to_numpy()[order]))
+    docs, some = stored(every.select("id", "h", "key"), "docs"), every.where("n > 0")
+    longest = some.agg(F.max("n")).first()[0]
+    summed = stored(some.select("spots").mapInArrow(_count_spots, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")), "counts")
+    told, counts = summed.toArrow(), np.zeros(1 << BUCKET_BITS, np.int64)
+    counts[told["bucket"].to_numpy()] = told["n"].to_numpy()
+    release(summed)
+    counted = spark.sparkContext.broadcast(counts)
     # a cell matters if it has two sets that differ; the set with the least number is compared with all others
-    cells = some.select("short", "spots").mapInArrow(_to_cells(frequent, least, length_ranges(least, longest or 0)), "cell bigint, short bigint")
+    cells = some.select("short", "spots").mapInArrow(_to_cells(counted, least, length_ranges(least, longest or 0)), "cell bigint, short bigint")
     shared = stored(cells.groupBy("cell").agg(F.min("short").alias("lead"), F.max("short").alias("last")).where("lead <> last").select("cell", "lead"), "cells")
     met = stored(cells.join(shared, "cell").distinct(), "met")
     release(shared)
-    found = met.select("short").union(met.select("lead")).distinct()
+    found = stored(met.select("short").union(met.select("lead")).distinct(), "found")
     sets = stored(some.join(found, "short", "left_semi").groupBy("short", F.hex("key").alias("key")).agg(F.any_value("spots").alias("spots"), F.any_value("n").alias("n")), "sets")
-    release(every)
+    release(every, found)
     a, b = (sets.select(F.col("short").alias(of), F.col("key").alias(x), F.col("spots").alias(f"{x}_spots")) for of, x in (("short", "a"), ("lead", "b")))
     pairs = met.where("short <> lead").select("short", "lead").distinct().join(a, "short").join(b, "lead").select("a", "b", "a_spots", "b_spots")
     links = stored(pairs.mapInArrow(_verified(least), "a string, b string"), "spot-links")
@@ -361,7 +364,7 @@ def _classes(keyed: DataFrame, make: Prints, least: float, most: int = 1 << 22)
         roots = stored(connected_components(links.union(more)).withColumnRenamed("node", "key"), "roots")
     release(links, more)
     each = docs.groupBy("key").agg(F.min("id").alias("least_id"))
-    linked = roots.join(each, "key")
+    linked = roots.withColumn("key", F.unhex("key")).join(each, "key")
     moved = linked.join(linked.groupBy("root").agg(F.min("least_id").alias("class_id")), "root").select("key", "class_id")
     classes = stored(each.join(moved, "key", "left").select("key", F.coalesce("class_id", "least_id").alias("class_id")), "classes")
     release(roots)
