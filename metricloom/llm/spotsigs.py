@@ -8,8 +8,8 @@ written as the sorted 64-bit hashes of the spots. Two fingerprints are compared
 Near-duplicates (:func:`spot_classes`): sets are dealt to ranges of lengths such that a pair of likeness ``least`` or
 more shares a range or touches two neighbours. In a range, sets meet in a cell for each of their rarest spots (the
 prefix: of such a pair at least one is the same). Every set of a cell is first compared with one of them,
-the same for the whole cell, by pruned likeness. Cells in which more than one component is left then
-link what they hold by a spanning forest, with likeness computed only where lengths allow it.
+the same for the whole cell, by pruned likeness. Cells in which more than one component is left then (of cells with
+the same sets, one) link what they hold by a spanning forest, with likeness computed only where lengths allow it.
 
 Scale: each text is shuffled once, by ranges of ids, so that neighbours meet; the first text of a range
 also goes to the range before it. The ranges' bounds, eight bytes for about a thousand rows, are all that
@@ -349,16 +349,20 @@ def _classes(keyed: DataFrame, make: Prints, least: float, most: int = 1 << 22)
     pairs = met.where("short <> lead").select("short", "lead").distinct().join(a, "short").join(b, "lead").select("a", "b", "a_spots", "b_spots")
     links = stored(pairs.mapInArrow(_verified(least), "a string, b string"), "spot-links")
     roots = stored(connected_components(links).withColumnRenamed("node", "key"), "roots")
-    # cells of three and more sets in more than one component
+    # cells of three and more sets in more than one component; of cells with the same sets one is enough
     named = sets.select("short", "key", "n").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     left = stored(met.select("cell", "short").join(named, "short"), "left")
-    mixed = left.groupBy("cell").agg(F.sum(F.col("n").cast("long")).alias("size"), F.count(F.lit(1)).alias("sets"), F.min("root").alias("low"), F.max("root").alias("high"))
-    mixed = mixed.where("low <> high and sets > 2").select("cell", F.ceil(F.col("size") / most).cast("int").alias("blocks"))
+    size, marks = F.sum(F.col("n").cast("long")).alias("size"), [F.bit_xor(F.xxhash64(x)).alias(f"by_{x}") for x in ("short", "key")]
+    mixed = left.groupBy("cell").agg(size, F.count(F.lit(1)).alias("sets"), F.min("root").alias("low"), F.max("root").alias("high"), *marks)
+    mixed = mixed.where("low <> high and sets > 2").groupBy("sets", "size", "by_short", "by_key").agg(F.min("cell").alias("cell"))
+    mixed = mixed.select("cell", F.ceil(F.col("size") / most).cast("int").alias("blocks"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     blocks = left.join(mixed, "cell").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("other", other)
-    grouped = blocks.select(F.xxhash64("cell", F.least("block", "other"), F.greatest("block", "other")).alias("group"), "key").join(sets.select("key", "spots"), "key").select("group", "key", "spots")
+    group = F.xxhash64("cell", F.least("block", "other"), F.greatest("block", "other")).alias("group")
+    members = stored(blocks.select(group, "key"), "members")
+    grouped = members.join(sets.select("key", "spots"), "key").select("group", "key", "spots")
     more = stored(grouped.repartition("group").sortWithinPartitions("group").mapInArrow(_link_groups(least), "a string, b string"), "spot-links")
-    release(left, met, sets)
+    release(left, met, sets, members)
     if not more.isEmpty():
         release(roots)
         roots = stored(connected_components(links.union(more)).withColumnRenamed("node", "key"), "roots")
