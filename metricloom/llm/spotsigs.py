@@ -6,10 +6,13 @@ whose start is its only anchor has one spot, all its content words. The set of a
 written as the sorted 64-bit hashes of the spots. Two fingerprints are compared by Jaccard likeness.
 
 Near-duplicates (:func:`spot_classes`): sets are dealt to ranges of lengths such that a pair of likeness ``least`` or
-more shares a range or touches two neighbours. In a range, sets meet in a cell for each of their rarest spots (the
-prefix: of such a pair at least one is the same). Every set of a cell is first compared with one of them,
-the same for the whole cell, by pruned likeness. Cells in which more than one component is left then (of cells with
-the same sets, one) link what they hold by a spanning forest, with likeness computed only where lengths allow it.
+more shares a range or touches two neighbours. The lengths of a range bound the spots k by which such a pair differs.
+All spots are dealt to m > k parts by their hash; a difference spoils one part at most, so the pair has m - k parts
+in common, and sets meet in a cell for each of their parts. A part without a rare spot is weak; a set with
+fewer than m - k weak parts leaves them out, as it has another part in common with its partners. Every set of a cell is first
+compared with one of them, the same for the whole cell, by pruned likeness. Cells in which more than one component
+is left then (of cells with the same sets, one) link what they hold by a spanning forest, with likeness computed only
+where lengths allow it.
 
 Scale: each text is shuffled once, by ranges of ids, so that neighbours meet; the first text of a range
 also goes to the range before it. The ranges' bounds, eight bytes for about a thousand rows, are all that
@@ -48,7 +51,7 @@ ANCHORS = tuple(
     "le la les et des en un une du dans est que pour qui au par sur pas plus ne se ce il sont avec "
     "el los las y del se lo una por con no para su al como más pero sus o".split()
 )
-#: Spots are ordered by how many there are in their bucket: what is frequent stands out against what is spread evenly.
+#: A spot is frequent if its bucket has over four times the mean, and more than 50.
 BUCKET_BITS = 18
 _STRIP = b".,;:!?()[]{}\"'*#%&$|-_/<>=+`~"
 
@@ -225,30 +228,49 @@ def _count_spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n[used])], names=["bucket", "n"])
 
 
-def length_ranges(least: float, longest: int, wide: int = 4) -> np.ndarray:
-    """First length of each range. A range is so wide that most sets have no partner in the next."""
+def length_ranges(least: float, longest: int, wide: int = 2) -> np.ndarray:
+    """First length of each range, up to the range behind that of ``longest``."""
     starts = [1]
-    while starts[-1] <= longest:
+    while len(starts) < 3 or starts[-3] <= longest:
         starts.append(int(starts[-1] / least**wide + 1e-9) + 1)
     return np.array(starts)
 
 
+def parts_of(x: np.ndarray, rare: np.ndarray, differ: int) -> np.ndarray:
+    """Hashes of the parts of a set by which it meets all sets that differ from it in at most ``differ`` spots."""
+    m = differ + 1 + (differ + 7) // 8
+    part = ((x & np.uint64(0xFFFFFFFF)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    used, first = np.unique(part[order], return_index=True)
+    sums = np.zeros(m, np.uint64)
+    sums[used] = np.add.reduceat(x[order], first)
+    strong = np.bincount(part[rare], minlength=m) > 0
+    kept = np.flatnonzero(strong) if m - strong.sum() < m - differ else np.arange(m)
+    return sums[kept] + kept.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(33)) * np.uint64(0xFF51AFD7ED558CCD)
+    return x ^ x >> np.uint64(33)
+
+
 def _to_cells(counted, least: float, starts: np.ndarray):
-    """Sets (short, spots) to one row (cell, short) for each spot of their prefix, in their range of lengths and
-    in the next one if that has lengths of partners."""
+    """Sets (short, spots) to one row (cell, short) for each part, in their range of lengths and in the next one
+    if that has lengths of partners."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = counted.value
+        frequent = counts > max(50, 4 * counts.mean())
         for batch in slices(batches):
             cells, shorts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for short, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 x = np.frombuffer(blob, np.uint64)
-                often = counts[(x >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
-                prefix = x[np.lexsort((x, often))][: len(x) - int(np.ceil(least * len(x) - 1e-9)) + 1]
+                rare = ~frequent[(x >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
                 own = int(np.searchsorted(starts, len(x), side="right"))
-                ranges = [own, own + 1] if len(x) / least + 1e-9 >= starts[own] else [own]
-                cells += [prefix + np.uint64(r * 0x9E3779B97F4A7C15 % (1 << 64)) for r in ranges]
-                shorts.append(np.full(len(ranges) * len(prefix), short, np.int64))
+                for r in [own, own + 1] if len(x) / least + 1e-9 >= starts[own] else [own]:
+                    differ = int((1 - least) / (1 + least) * 2 * (int(starts[r]) - 1) + 1e-9)
+                    cells.append(_mixed(parts_of(x, rare, differ) + np.uint64(r * 0xC2B2AE3D27D4EB4F % (1 << 64))))
+                    shorts.append(np.full(len(cells[-1]), short, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells).view(np.int64)), pa.array(np.concatenate(shorts))], names=["cell", "short"])
 
     return run
