@@ -11,8 +11,8 @@ All spots are dealt to m > k parts by their hash; a difference spoils one part a
 in common, and sets meet in a cell for each of their parts. A part without a rare spot is weak; a set with
 fewer than m - k weak parts leaves them out, as it has another part in common with its partners. Every set of a cell is first
 compared with one of them, the same for the whole cell, by pruned likeness. Cells in which more than one component
-is left then (of cells with the same sets, one) link what they hold by a spanning forest, with likeness computed only
-where lengths allow it.
+is left then (of cells with the same sets, one; or, once for all, what such cells connect, if that is little) link what
+they hold by a spanning forest, with likeness computed only where lengths allow it.
 
 Scale: each text is shuffled once, by ranges of ids, so that neighbours meet; the first text of a range
 also goes to the range before it. The ranges' bounds, eight bytes for about a thousand rows, are all that
@@ -368,12 +368,17 @@ def _classes(keyed: DataFrame, make: Prints, least: float, most: int = 1 << 22)
     sets = stored(some.join(found, "short", "left_semi").groupBy("short", F.hex("key").alias("key")).agg(F.any_value("spots").alias("spots"), F.any_value("n").alias("n")), "sets")
     release(every, found)
     a, b = (sets.select(F.col("short").alias(of), F.col("key").alias(x), F.col("spots").alias(f"{x}_spots")) for of, x in (("short", "a"), ("lead", "b")))
-    pairs = met.where("short <> lead").select("short", "lead").distinct().join(a, "short").join(b, "lead").select("a", "b", "a_spots", "b_spots")
+    star = stored(met.where("short <> lead").select("short", "lead").distinct(), "star")
+    pairs = star.join(a, "short").join(b, "lead").select("a", "b", "a_spots", "b_spots")
     links = stored(pairs.mapInArrow(_verified(least), "a string, b string"), "spot-links")
     roots = stored(connected_components(links).withColumnRenamed("node", "key"), "roots")
+    # what cells connect is a family; if comparing all of it is little work, it takes the place of its cells
+    families = stored(connected_components(star.select(F.col("short").alias("a"), F.col("lead").alias("b"))), "families").select(F.col("node").alias("short"), F.col("root").alias("family"))
+    whole = families.join(sets.select("short", "n"), "short").groupBy("family").agg((F.sum("n") * F.count(F.lit(1)) <= most << 8).alias("little"))
     # cells of three and more sets in more than one component; of cells with the same sets one is enough
     named = sets.select("short", "key", "n").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    left = stored(met.select("cell", "short").join(named, "short"), "left")
+    place = F.when(F.col("little"), F.xxhash64("family")).otherwise(F.col("cell")).alias("cell")
+    left = stored(met.select("cell", "short").join(families.join(whole, "family"), "short").select(place, "short").distinct().join(named, "short"), "left")
     size, marks = F.sum(F.col("n").cast("long")).alias("size"), [F.bit_xor(F.xxhash64(x)).alias(f"by_{x}") for x in ("short", "key")]
     mixed = left.groupBy("cell").agg(size, F.count(F.lit(1)).alias("sets"), F.min("root").alias("low"), F.max("root").alias("high"), *marks)
     mixed = mixed.where("low <> high and sets > 2").groupBy("sets", "size", "by_short", "by_key").agg(F.min("cell").alias("cell"))
@@ -384,7 +389,7 @@ def _classes(keyed: DataFrame, make: Prints, least: float, most: int = 1 << 22)
     members = stored(blocks.select(group, "key"), "members")
     grouped = members.join(sets.select("key", "spots"), "key").select("group", "key", "spots")
     more = stored(grouped.repartition("group").sortWithinPartitions("group").mapInArrow(_link_groups(least), "a string, b string"), "spot-links")
-    release(left, met, sets, members)
+    release(left, met, sets, members, star, families)
     if not more.isEmpty():
         release(roots)
         roots = stored(connected_components(links.union(more)).withColumnRenamed("node", "key"), "roots")
