@@ -6,13 +6,10 @@ whose start is its only anchor has one spot, all its content words. The set of a
 written as the sorted 64-bit hashes of the spots. Two fingerprints are compared by Jaccard likeness.
 
 Near-duplicates (:func:`spot_classes`): sets are dealt to ranges of lengths such that a pair of likeness ``least`` or
-more shares a range or touches two neighbours. The lengths of a range bound the spots k by which such a pair differs.
-All spots are dealt to m > k parts by their hash; a difference spoils one part at most, so the pair has m - k parts
-in common, and sets meet in a cell for each of their parts. A part without a rare spot is weak; a set with
-fewer than m - k weak parts leaves them out, as it has another part in common with its partners. Every set of a cell is first
-compared with one of them, the same for the whole cell, by pruned likeness. Cells in which more than one component
-is left then (of cells with the same sets, one; or, once for all, what such cells connect, if that is little) link what
-they hold by a spanning forest, with likeness computed only where lengths allow it.
+more shares a range or touches two neighbours. In a range, sets meet in a cell for each of their rarest spots (the
+prefix: of such a pair at least one is the same). Every set of a cell is first compared with one of them,
+the same for the whole cell, by pruned likeness. Cells in which more than one component is left then (of cells with
+the same sets, one) link what they hold by a spanning forest, with likeness computed only where lengths allow it.
 
 Scale: each text is shuffled once, by ranges of ids, so that neighbours meet; the first text of a range
 also goes to the range before it. The ranges' bounds, eight bytes for about a thousand rows, are all that
@@ -51,7 +48,7 @@ ANCHORS = tuple(
     "le la les et des en un une du dans est que pour qui au par sur pas plus ne se ce il sont avec "
     "el los las y del se lo una por con no para su al como más pero sus o".split()
 )
-#: A spot is frequent if its bucket has over four times the mean, and more than 50.
+#: Spots are ordered by how many there are in their bucket: what is frequent stands out against what is spread evenly.
 BUCKET_BITS = 18
 _STRIP = b".,;:!?()[]{}\"'*#%&$|-_/<>=+`~"
 
@@ -228,62 +225,62 @@ def _count_spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n[used])], names=["bucket", "n"])
 
 
-def length_ranges(least: float, longest: int, wide: int = 2) -> np.ndarray:
-    """First length of each range, up to the range behind that of ``longest``."""
+def length_ranges(least: float, longest: int, wide: int = 4) -> np.ndarray:
+    """First length of each range. A range is so wide that most sets have no partner in the next."""
     starts = [1]
-    while len(starts) < 3 or starts[-3] <= longest:
+    while starts[-1] <= longest:
         starts.append(int(starts[-1] / least**wide + 1e-9) + 1)
     return np.array(starts)
 
 
-def parts_of(x: np.ndarray, rare: np.ndarray, differ: int) -> np.ndarray:
-    """Hashes of the parts of a set by which it meets all sets that differ from it in at most ``differ`` spots."""
-    m = differ + 1 + (differ + 7) // 8
-    part = ((x & np.uint64(0xFFFFFFFF)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    used, first = np.unique(part[order], return_index=True)
-    sums = np.zeros(m, np.uint64)
-    sums[used] = np.add.reduceat(x[order], first)
-    strong = np.bincount(part[rare], minlength=m) > 0
-    kept = np.flatnonzero(strong) if m - strong.sum() < m - differ else np.arange(m)
-    return sums[kept] + kept.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ x >> np.uint64(33)) * np.uint64(0xFF51AFD7ED558CCD)
-    return x ^ x >> np.uint64(33)
-
-
 def _to_cells(counted, least: float, starts: np.ndarray):
-    """Sets (short, spots) to one row (cell, short) for each part, in their range of lengths and in the next one
-    if that has lengths of partners."""
+    """Sets (short, spots) to one row (cell, short) for each spot of their prefix, in their range of lengths and
+    in the next one if that has lengths of partners."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = counted.value
-        frequent = counts > max(50, 4 * counts.mean())
         for batch in slices(batches):
             cells, shorts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for short, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 x = np.frombuffer(blob, np.uint64)
-                rare = ~frequent[(x >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
+                often = counts[(x >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
+                prefix = x[np.lexsort((x, often))][: len(x) - int(np.ceil(least * len(x) - 1e-9)) + 1]
                 own = int(np.searchsorted(starts, len(x), side="right"))
-                for r in [own, own + 1] if len(x) / least + 1e-9 >= starts[own] else [own]:
-                    differ = int((1 - least) / (1 + least) * 2 * (int(starts[r]) - 1) + 1e-9)
-                    cells.append(_mixed(parts_of(x, rare, differ) + np.uint64(r * 0xC2B2AE3D27D4EB4F % (1 << 64))))
-                    shorts.append(np.full(len(cells[-1]), short, np.int64))
+                ranges = [own, own + 1] if len(x) / least + 1e-9 >= starts[own] else [own]
+                cells += [prefix + np.uint64(r * 0x9E3779B97F4A7C15 % (1 << 64)) for r in ranges]
+                shorts.append(np.full(len(ranges) * len(prefix), short, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells).view(np.int64)), pa.array(np.concatenate(shorts))], names=["cell", "short"])
 
     return run
 
 
-def _verified(least: float):
-    """Rows (a, b, spots of a, spots of b) to the pairs (a, b) of likeness ``least``."""
+def _slice(x: np.ndarray) -> np.ndarray:
+    """A fixed quarter of all spots."""
+    return x[x & np.uint64(3) == 0]
+
+
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (short, n, spots) with their slice of the spots alone."""
+    for batch in slices(batches):
+        yield batch.set_column(2, "spots", pa.array([_slice(np.frombuffer(x, np.uint64)).tobytes() for x in batch.column(2).to_pylist()], pa.binary()))
+
+
+def may_be_near(n: int, m: int, a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """False only if sets of n and m spots with the slices a and b can't have likeness ``least``: sets that have it differ
+    in at most (1 - least) / (1 + least) of n + m spots, and as a whole in no fewer than in a slice."""
+    differ = len(a) + len(b) - 2 * (_overlap(a, b) if len(b) else 0)
+    return differ <= (1 - least) / (1 + least) * (n + m) + 1e-9
+
+
+def _pairs(least: float, whole: bool):
+    """Rows (a, b, n of a, n of b, spots of a, spots of b) to those (a, b) that have likeness ``least`` or, by slices, may have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = ([np.frombuffer(x, np.uint64) for x in batch.column(k).to_pylist()] for k in (2, 3))
-            near = pa.array([likeness(x, y, least) > 0 for x, y in zip(*sets, strict=True)], pa.bool_())
-            yield batch.select([0, 1]).filter(near)
+            n, m = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            xs, ys = ([np.frombuffer(x, np.uint64) for x in batch.column(k).to_pylist()] for k in (4, 5))
+            kept = [likeness(x, y, least) > 0 if whole else may_be_near(i, j, x, y, least) for i, j, x, y in zip(n, m, xs, ys, strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(kept, pa.bool_()))
 
     return run
 
@@ -367,18 +364,26 @@ def _classes(keyed: DataFrame, make: Prints, least: float, most: int = 1 << 22)
     found = stored(met.select("short").union(met.select("lead")).distinct(), "found")
     sets = stored(some.join(found, "short", "left_semi").groupBy("short", F.hex("key").alias("key")).agg(F.any_value("spots").alias("spots"), F.any_value("n").alias("n")), "sets")
     release(every, found)
-    a, b = (sets.select(F.col("short").alias(of), F.col("key").alias(x), F.col("spots").alias(f"{x}_spots")) for of, x in (("short", "a"), ("lead", "b")))
-    star = stored(met.where("short <> lead").select("short", "lead").distinct(), "star")
-    pairs = star.join(a, "short").join(b, "lead").select("a", "b", "a_spots", "b_spots")
-    links = stored(pairs.mapInArrow(_verified(least), "a string, b string"), "spot-links")
+    near = (F.col("n") >= F.col("m") * least - 1e-9) & (F.col("m") >= F.col("n") * least - 1e-9)
+
+    def joined(pairs: DataFrame, side: DataFrame, name: str) -> DataFrame:
+        a = side.select(F.col("short").alias("a"), F.col("n"), F.col(name).alias("a_spots"))
+        b = side.select(F.col("short").alias("b"), F.col("n").alias("m"), F.col(name).alias("b_spots"))
+        return pairs.join(a, "a").join(b, "b").where(near).select("a", "b", "n", "m", "a_spots", "b_spots")
+
+    # pairs are told apart by lengths, then by slices of their sets, and only then by whole sets
+    star = met.where("short <> lead").select(F.col("short").alias("a"), F.col("lead").alias("b")).distinct()
+    lengths = stored(joined(star, sets, "n").select("a", "b"), "star")
+    quarters = stored(sets.select("short", "n", "spots").mapInArrow(_sliced, "short bigint, n int, spots binary"), "slices")
+    likely = stored(joined(lengths, quarters, "spots").mapInArrow(_pairs(least, False), "a bigint, b bigint"), "likely")
+    found_links = stored(joined(likely, sets, "spots").mapInArrow(_pairs(least, True), "a bigint, b bigint"), "found-links")
+    a, b = (sets.select(F.col("short").alias(x), F.col("key").alias(f"{x}_key")) for x in ("a", "b"))
+    links = stored(found_links.join(a, "a").join(b, "b").select(F.col("a_key").alias("a"), F.col("b_key").alias("b")), "spot-links")
+    release(lengths, quarters, likely, found_links)
     roots = stored(connected_components(links).withColumnRenamed("node", "key"), "roots")
-    # what cells connect is a family; if comparing all of it is little work, it takes the place of its cells
-    families = stored(connected_components(star.select(F.col("short").alias("a"), F.col("lead").alias("b"))), "families").select(F.col("node").alias("short"), F.col("root").alias("family"))
-    whole = families.join(sets.select("short", "n"), "short").groupBy("family").agg((F.sum("n") * F.count(F.lit(1)) <= most << 8).alias("little"))
     # cells of three and more sets in more than one component; of cells with the same sets one is enough
     named = sets.select("short", "key", "n").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    place = F.when(F.col("little"), F.xxhash64("family")).otherwise(F.col("cell")).alias("cell")
-    left = stored(met.select("cell", "short").join(families.join(whole, "family"), "short").select(place, "short").distinct().join(named, "short"), "left")
+    left = stored(met.select("cell", "short").join(named, "short"), "left")
     size, marks = F.sum(F.col("n").cast("long")).alias("size"), [F.bit_xor(F.xxhash64(x)).alias(f"by_{x}") for x in ("short", "key")]
     mixed = left.groupBy("cell").agg(size, F.count(F.lit(1)).alias("sets"), F.min("root").alias("low"), F.max("root").alias("high"), *marks)
     mixed = mixed.where("low <> high and sets > 2").groupBy("sets", "size", "by_short", "by_key").agg(F.min("cell").alias("cell"))
@@ -389,7 +394,7 @@ def _classes(keyed: DataFrame, make: Prints, least: float, most: int = 1 << 22)
     members = stored(blocks.select(group, "key"), "members")
     grouped = members.join(sets.select("key", "spots"), "key").select("group", "key", "spots")
     more = stored(grouped.repartition("group").sortWithinPartitions("group").mapInArrow(_link_groups(least), "a string, b string"), "spot-links")
-    release(left, met, sets, members, star, families)
+    release(left, met, sets, members)
     if not more.isEmpty():
         release(roots)
         roots = stored(connected_components(links.union(more)).withColumnRenamed("node", "key"), "roots")
