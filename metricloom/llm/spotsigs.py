@@ -9,12 +9,13 @@ Near-duplicates (:func:`spot_classes`): sets are dealt to ranges of lengths such
 more shares a range or touches two neighbours. In a range, sets meet in a cell for each of their rarest spots (the
 prefix: of such a pair at least one is the same). Every set of a cell is first compared with one of them,
 the same for the whole cell, by pruned likeness. Cells in which more than one component is left then (of cells with
-the same sets, one) link what they hold by a spanning forest, with likeness computed only where lengths allow it.
+the same sets, one) are split by sketches, a few bits for each spot, which tell most unlike sets apart without doubt. What still
+hangs together and has several components is linked by a spanning forest, with likeness computed only where lengths allow it.
 
 Scale: each text is shuffled once, by ranges of ids, so that neighbours meet; the first text of a range
 also goes to the range before it. The ranges' bounds, eight bytes for about a thousand rows, are all that
 the driver sees. For classes, a cell's row is two numbers, combined before the shuffle, and whole sets
-travel only where sets that differ meet in a cell; copies of a set are one there. A cell with more
+travel only to a pair or a part of a cell that sketches leave open; copies of a set are one there. A cell with more
 than ``most`` spots is dealt to pairs of its blocks, so that no task has to hold a whole cell. How rare a spot is, is
 read from counts of 2^18 buckets of spots, two megabytes that all tasks know.
 
@@ -53,19 +54,34 @@ BUCKET_BITS = 18
 _STRIP = b".,;:!?()[]{}\"'*#%&$|-_/<>=+`~"
 
 
-def spots(blob: bytes, anchors: frozenset[bytes], chain: int = 2, distance: int = 1) -> set[bytes]:
+class _Kinds(dict):
+    """Of each word the word without signs around it, and whether it is a common word (2), an anchor besides (1) or
+    none (0). Short words, ``most`` at a time, are kept."""
+
+    def __init__(self, anchors: frozenset[bytes], most: int = 1 << 17):
+        self.anchors, self.most = anchors, most
+
+    def __missing__(self, word: bytes) -> tuple[bytes, int]:
+        if len(self) >= self.most:
+            self.clear()
+        w = word.strip(_STRIP) or word
+        told = w, 2 if w in self.anchors else int(not zlib.crc32(w) & 7)
+        if len(word) <= 64:
+            self[word] = told
+        return told
+
+
+def spots(blob: bytes, kinds: _Kinds, chain: int = 2, distance: int = 1) -> set[bytes]:
     """Anchor and chain of each spot; a chain at the end of the text may be shorter. A text of anchors
     alone is one spot."""
     content: list[bytes] = []
     found: list[tuple[bytes, int]] = [(b"^", 0)]
-    for w in words(blob):
-        w = w.strip(_STRIP) or w
-        if w in anchors:
-            found.append((w, len(content)))
-        else:
+    for word in words(blob):
+        w, kind = kinds[word]
+        if kind < 2:
             content.append(w)
-            if not zlib.crc32(w) & 7:
-                found.append((w, len(content)))
+        if kind:
+            found.append((w, len(content)))
     if not content:
         return {b" ".join(w for w, _ in found)} if len(found) > 1 else set()
     span, n = chain * distance, len(content)
@@ -77,10 +93,10 @@ class Prints:
     """Sorted hashes of a text's spots; built once in each task."""
 
     def __init__(self, anchors: tuple[str, ...] = ANCHORS, chain: int = 2, distance: int = 1):
-        self.anchors, self.chain, self.distance = frozenset(a.encode() for a in anchors), chain, distance
+        self.kinds, self.chain, self.distance = _Kinds(frozenset(a.encode() for a in anchors)), chain, distance
 
     def __call__(self, blob: bytes) -> np.ndarray:
-        return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, spots(blob, self.anchors, self.chain, self.distance)), np.uint64))
+        return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, spots(blob, self.kinds, self.chain, self.distance)), np.uint64))
 
 
 def written(hashes: np.ndarray) -> str:
@@ -254,31 +270,119 @@ def _to_cells(counted, least: float, starts: np.ndarray):
     return run
 
 
-def _slice(x: np.ndarray) -> np.ndarray:
-    """A fixed quarter of all spots."""
-    return x[x & np.uint64(3) == 0]
+def sketch(x: np.ndarray) -> np.ndarray:
+    """Parities of how many spots have the same last bits, as many of them (a power of two, at least 128) as there are
+    spots, packed in bytes. Half as many parities are the first half xor the second: see :func:`folded`."""
+    bits = max(128, 1 << (len(x) - 1).bit_length())
+    return np.packbits(np.bincount((x & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1 == 1)
+
+
+def folded(sketches: np.ndarray, width: int) -> np.ndarray:
+    """Sketches, along the last axis, of ``width`` bytes."""
+    while sketches.shape[-1] > width:
+        half = sketches.shape[-1] // 2
+        sketches = sketches[..., :half] ^ sketches[..., half:]
+    return sketches
 
 
-def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (short, n, spots) with their slice of the spots alone."""
+def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits in which sketches differ: no more than their sets differ in spots, as a spot changes one parity."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (short, key, n, spots) with the sketch instead of the spots."""
     for batch in slices(batches):
-        yield batch.set_column(2, "spots", pa.array([_slice(np.frombuffer(x, np.uint64)).tobytes() for x in batch.column(2).to_pylist()], pa.binary()))
+        made = pa.array([sketch(np.frombuffer(x, np.uint64)).tobytes() for x in batch.column(3).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], made], names=["short", "key", "n", "sketch"])
 
 
 def may_be_near(n: int, m: int, a: np.ndarray, b: np.ndarray, least: float) -> bool:
-    """False only if sets of n and m spots with the slices a and b can't have likeness ``least``: sets that have it differ
-    in at most (1 - least) / (1 + least) of n + m spots, and as a whole in no fewer than in a slice."""
-    differ = len(a) + len(b) - 2 * (_overlap(a, b) if len(b) else 0)
-    return differ <= (1 - least) / (1 + least) * (n + m) + 1e-9
+    """False only if sets of n and m spots with the sketches a and b can't have likeness ``least``: sets that have it differ
+    in at most (1 - least) / (1 + least) of n + m spots."""
+    width = min(len(a), len(b))
+    return bool(_differ(folded(a, width), folded(b, width)) <= (1 - least) / (1 + least) * (n + m) + 1e-9)
+
+
+def sketch_parts(sizes: list[int], sketches: list[np.ndarray], least: float) -> list[list[int]]:
+    """The sets dealt to parts, so that two which may be near are in one part."""
+    sizes = np.array(sizes, np.int64)
+    by_width: dict[int, list[int]] = {}
+    for i, x in enumerate(sketches):
+        by_width.setdefault(len(x), []).append(i)
+    rest = {w: np.array(own) for w, own in by_width.items()}
+    held: dict[tuple[int, int], np.ndarray] = {(w, w): np.stack([sketches[i] for i in own]) for w, own in by_width.items()}
+    out = []
+    for first in range(len(sketches)):
+        w = len(sketches[first])
+        if not len(rest[w]) or not (rest[w] == first).any():
+            continue
+        part, todo = [], [first]
+        keep = rest[w] != first
+        rest[w] = rest[w][keep]
+        held.update({at: m[keep] for at, m in held.items() if at[0] == w})
+        while todo:
+            k = todo.pop()
+            part.append(k)
+            for w, own in rest.items():
+                if not len(own):
+                    continue
+                n, m, width = sizes[k], sizes[own], min(w, len(sketches[k]))
+                if n < least * m.min() - 1e-9 or m.max() < least * n - 1e-9:
+                    continue
+                if (w, width) not in held:
+                    held[w, width] = folded(held[w, w], width)
+                near = _differ(held[w, width], folded(sketches[k], width)) <= (1 - least) / (1 + least) * (n + m) + 1e-9
+                near &= (n >= least * m - 1e-9) & (m >= least * n - 1e-9)
+                if near.any():
+                    todo += own[near].tolist()
+                    rest[w] = own[~near]
+                    held.update({at: x[~near] for at, x in held.items() if at[0] == w})
+        out.append(part)
+    return out
+
+
+def _split_groups(least: float):
+    """Rows (group, key, root, n, sketch), sorted by group, to (part, key) of the parts that have several roots. Parts of the
+    same sets have the same number, wherever they are found."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+
+        def parts() -> list[tuple[int, str]]:
+            found = []
+            if len({root for _, root, _, _ in rows}) > 1:
+                for part in sketch_parts([n for _, _, n, _ in rows], [np.frombuffer(x, np.uint8) for *_, x in rows], least):
+                    if len({rows[i][1] for i in part}) > 1:
+                        keys = sorted(rows[i][0] for i in part)
+                        number = xxhash.xxh3_64_intdigest("".join(keys)) - (1 << 63)
+                        found += [(number, key) for key in keys]
+            rows.clear()
+            return found
+
+        def told(found: list[tuple[int, str]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int64()), pa.array([k for _, k in found], pa.string())], names=["part", "key"])
+
+        for batch in slices(batches):
+            found = []
+            for group, *row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                if group != now:
+                    found += parts()
+                    now = group
+                rows.append(tuple(row))
+            yield told(found)
+        yield told(parts())
+
+    return run
 
 
 def _pairs(least: float, whole: bool):
-    """Rows (a, b, n of a, n of b, spots of a, spots of b) to those (a, b) that have likeness ``least`` or, by slices, may have it."""
+    """Rows (a, b, n of a, n of b, spots of a, spots of b) to those (a, b) that have likeness ``least`` or, by sketches, may have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             n, m = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            xs, ys = ([np.frombuffer(x, np.uint64) for x in batch.column(k).to_pylist()] for k in (4, 5))
+            xs, ys = ([np.frombuffer(x, np.uint64 if whole else np.uint8) for x in batch.column(k).to_pylist()] for k in (4, 5))
             kept = [likeness(x, y, least) > 0 if whole else may_be_near(i, j, x, y, least) for i, j, x, y in zip(n, m, xs, ys, strict=True)]
             yield batch.select([0, 1]).filter(pa.array(kept, pa.bool_()))
 
@@ -371,15 +475,15 @@ def _classes(keyed: DataFrame, make: Prints, least: float, most: int = 1 << 22)
         b = side.select(F.col("short").alias("b"), F.col("n").alias("m"), F.col(name).alias("b_spots"))
         return pairs.join(a, "a").join(b, "b").where(near).select("a", "b", "n", "m", "a_spots", "b_spots")
 
-    # pairs are told apart by lengths, then by slices of their sets, and only then by whole sets
+    # pairs are told apart by lengths, then by sketches, and only then by whole sets
     star = met.where("short <> lead").select(F.col("short").alias("a"), F.col("lead").alias("b")).distinct()
     lengths = stored(joined(star, sets, "n").select("a", "b"), "star")
-    quarters = stored(sets.select("short", "n", "spots").mapInArrow(_sliced, "short bigint, n int, spots binary"), "slices")
-    likely = stored(joined(lengths, quarters, "spots").mapInArrow(_pairs(least, False), "a bigint, b bigint"), "likely")
+    sketches = stored(sets.select("short", "key", "n", "spots").mapInArrow(_sketched, "short bigint, key string, n int, sketch binary"), "sketches")
+    likely = stored(joined(lengths, sketches, "sketch").mapInArrow(_pairs(least, False), "a bigint, b bigint"), "likely")
     found_links = stored(joined(likely, sets, "spots").mapInArrow(_pairs(least, True), "a bigint, b bigint"), "found-links")
     a, b = (sets.select(F.col("short").alias(x), F.col("key").alias(f"{x}_key")) for x in ("a", "b"))
     links = stored(found_links.join(a, "a").join(b, "b").select(F.col("a_key").alias("a"), F.col("b_key").alias("b")), "spot-links")
-    release(lengths, quarters, likely, found_links)
+    release(lengths, likely, found_links)
     roots = stored(connected_components(links).withColumnRenamed("node", "key"), "roots")
     # cells of three and more sets in more than one component; of cells with the same sets one is enough
     named = sets.select("short", "key", "n").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
@@ -391,10 +495,13 @@ def _classes(keyed: DataFrame, make: Prints, least: float, most: int = 1 << 22)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     blocks = left.join(mixed, "cell").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("other", other)
     group = F.xxhash64("cell", F.least("block", "other"), F.greatest("block", "other")).alias("group")
-    members = stored(blocks.select(group, "key"), "members")
-    grouped = members.join(sets.select("key", "spots"), "key").select("group", "key", "spots")
-    more = stored(grouped.repartition("group").sortWithinPartitions("group").mapInArrow(_link_groups(least), "a string, b string"), "spot-links")
-    release(left, met, sets, members)
+    members = blocks.select(group, "key", "root").join(sketches.select("key", "n", "sketch"), "key").select("group", "key", "root", "n", "sketch")
+    split = members.repartition("group").sortWithinPartitions("group").mapInArrow(_split_groups(least), "part bigint, key string")
+    parts = stored(split.distinct(), "parts")
+    release(left, met, sketches)
+    grouped = parts.join(sets.select("key", "spots"), "key").select("part", "key", "spots")
+    more = stored(grouped.repartition("part").sortWithinPartitions("part").mapInArrow(_link_groups(least), "a string, b string"), "spot-links")
+    release(sets, parts)
     if not more.isEmpty():
         release(roots)
         roots = stored(connected_components(links.union(more)).withColumnRenamed("node", "key"), "roots")

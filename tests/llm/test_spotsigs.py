@@ -74,7 +74,7 @@ def test_likeness_prunes_without_losing(spark):
         for b in sets:
             want = jaccard(set(a.tolist()), set(b.tolist()))
             assert abs(spotsigs.likeness(a, b) - want) < 1e-9
-            assert want < 0.8 or spotsigs.may_be_near(len(a), len(b), spotsigs._slice(a), spotsigs._slice(b), 0.8)
+            assert want < 0.8 or spotsigs.may_be_near(len(a), len(b), spotsigs.sketch(a), spotsigs.sketch(b), 0.8)
             assert abs(spotsigs.likeness(a, b, 0.8) - (want if want >= 0.8 else 0)) < 1e-9
 
 
@@ -133,3 +133,25 @@ def test_forest_connects_what_pairs_do():
         found = spotsigs.set_forest(sets, least)
         assert brute_roots(range(len(sets)), found) == brute_roots(range(len(sets)), near)
         assert all(tuple(sorted(p, reverse=True)) in set(near) for p in found) and len(found) < len(sets)
+
+
+def test_sketches_part_what_is_unlike_and_nothing_else():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    sets = []
+    for n in (1, 3, 90, 130, 300, 700, 5000):
+        base = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        for share in (0, 0.05, 0.1, 0.3):
+            kept = base[rng.random(n) >= share]
+            sets.append(np.unique(np.append(kept, rng.integers(0, 1 << 63, rng.integers(0, 1 + n // 8), dtype=np.uint64))))
+    for least in (0.3, 0.8, 1.0):
+        parts = spotsigs.sketch_parts([len(x) for x in sets], [spotsigs.sketch(x) for x in sets], least)
+        assert sorted(i for p in parts for i in p) == list(range(len(sets)))
+        of = {i: k for k, p in enumerate(parts) for i in p}
+        near = [(i, j) for i in range(len(sets)) for j in range(i) if jaccard(set(sets[i].tolist()), set(sets[j].tolist())) >= least]
+        assert all(of[i] == of[j] for i, j in near)
+        # bases of their own do not hang together
+        assert least < 0.8 or all(i // 4 == j // 4 for p in parts for i in p for j in p if len(sets[i]) > 50)
+    x = sets[-1]
+    assert (spotsigs.folded(spotsigs.sketch(x), 16) == np.packbits(np.bincount((x & np.uint64(127)).astype(int), minlength=128) % 2 == 1)).all()
