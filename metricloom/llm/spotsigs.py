@@ -85,7 +85,11 @@ def spots(blob: bytes, kinds: _Kinds, chain: int = 2, distance: int = 1) -> set[
     if not content:
         return {b" ".join(w for w, _ in found)} if len(found) > 1 else set()
     span, n = chain * distance, len(content)
-    out = {b" ".join((w, *content[k : k + span : distance])) for w, k in found if k < n}
+    if (chain, distance) == (2, 1):  # the same, and most of the time spent on a text
+        chains = [*map(b" ".join, zip(content, content[1:])), content[-1]]
+    else:
+        chains = [b" ".join(content[k : k + span : distance]) for k in range(n)]
+    out = {w + b" " + chains[k] for w, k in found if k < n}
     return out if len(out) > 1 else {b" ".join((b"^", *content))}
 
 
@@ -218,14 +222,14 @@ def with_neighbours(
 
 
 def _sets_of(make: Prints, out: pa.Schema):
-    """Rows (id, h, text) to (id, h, key, short, spots, n): the digest of the set, its first eight bytes, the sorted hashes."""
+    """Rows (id, h, text) to (id, h, key, short, spots, n, sketch): the digest of the set, its first eight bytes, the sorted hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = [make(x) for x in blobs(batch.column(2))]
             keys = [hashlib.md5(x.tobytes()).digest() for x in sets]
             short = np.frombuffer(b"".join(x[:8] for x in keys), np.int64)
-            columns = [pa.array(keys, pa.binary()), pa.array(short), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int32())]
+            columns = [pa.array(keys, pa.binary()), pa.array(short), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int32()), pa.array([sketch(x).tobytes() for x in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], schema=out)
 
     return run
@@ -290,13 +294,6 @@ def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (short, key, n, spots) with the sketch instead of the spots."""
-    for batch in slices(batches):
-        made = pa.array([sketch(np.frombuffer(x, np.uint64)).tobytes() for x in batch.column(3).to_pylist()], pa.binary())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], made], names=["short", "key", "n", "sketch"])
-
-
 def may_be_near(n: int, m: int, a: np.ndarray, b: np.ndarray, least: float) -> bool:
     """False only if sets of n and m spots with the sketches a and b can't have likeness ``least``: sets that have it differ
     in at most (1 - least) / (1 + least) of n + m spots."""
@@ -451,7 +448,7 @@ def _classes(keyed: DataFrame, make: Prints, least: float, most: int = 1 << 22)
     if not 0 < least <= 1:
         raise ValueError("the least likeness is above 0 and at most 1")
     spark = keyed.sparkSession
-    schema = T.StructType([T.StructField("id", keyed.schema["id"].dataType), *ddl("h bigint, key binary, short bigint, spots binary, n int")])
+    schema = T.StructType([T.StructField("id", keyed.schema["id"].dataType), *ddl("h bigint, key binary, short bigint, spots binary, n int, sketch binary")])
     every = stored(keyed.mapInArrow(_sets_of(make, arrow_schema(schema)), schema), "spots")
     docs, some = stored(every.select("id", "h", "key"), "docs"), every.where("n > 0")
     longest = some.agg(F.max("n")).first()[0]
@@ -466,10 +463,16 @@ def _classes(keyed: DataFrame, make: Prints, least: float, most: int = 1 << 22)
     met = stored(cells.join(shared, "cell").distinct(), "met")
     release(shared)
     found = stored(met.select("short").union(met.select("lead")).distinct(), "found")
-    sets = stored(some.join(found, "short", "left_semi").groupBy("short", F.hex("key").alias("key")).agg(F.any_value("spots").alias("spots"), F.any_value("n").alias("n")), "sets")
-    release(every, found)
+    once = [F.any_value(c).alias(c) for c in ("n", "sketch")]
+    sets = stored(some.select("short", "key", "n", "sketch").join(found, "short", "left_semi").groupBy("short", F.hex("key").alias("key")).agg(*once), "sets")
+    release(found)
     near = (F.col("n") >= F.col("m") * least - 1e-9) & (F.col("m") >= F.col("n") * least - 1e-9)
 
+    def whole(needed: DataFrame) -> DataFrame:
+        """The spots of the sets with these ``short``, each set once."""
+        own = some.select("short", "key", "n", "spots").join(needed.distinct(), "short", "left_semi")
+        return own.groupBy("short", F.hex("key").alias("key")).agg(F.any_value("n").alias("n"), F.any_value("spots").alias("spots"))
+
     def joined(pairs: DataFrame, side: DataFrame, name: str) -> DataFrame:
         a = side.select(F.col("short").alias("a"), F.col("n"), F.col(name).alias("a_spots"))
         b = side.select(F.col("short").alias("b"), F.col("n").alias("m"), F.col(name).alias("b_spots"))
@@ -477,13 +480,12 @@ def _classes(keyed: DataFrame, make: Prints, least: float, most: int = 1 << 22)
 
     # pairs are told apart by lengths, then by sketches, and only then by whole sets
     star = met.where("short <> lead").select(F.col("short").alias("a"), F.col("lead").alias("b")).distinct()
-    lengths = stored(joined(star, sets, "n").select("a", "b"), "star")
-    sketches = stored(sets.select("short", "key", "n", "spots").mapInArrow(_sketched, "short bigint, key string, n int, sketch binary"), "sketches")
-    likely = stored(joined(lengths, sketches, "sketch").mapInArrow(_pairs(least, False), "a bigint, b bigint"), "likely")
-    found_links = stored(joined(likely, sets, "spots").mapInArrow(_pairs(least, True), "a bigint, b bigint"), "found-links")
+    likely = stored(joined(star, sets, "sketch").mapInArrow(_pairs(least, False), "a bigint, b bigint"), "likely")
+    in_pairs = stored(whole(likely.select(F.col("a").alias("short")).union(likely.select("b"))), "in-pairs")
+    found_links = stored(joined(likely, in_pairs, "spots").mapInArrow(_pairs(least, True), "a bigint, b bigint"), "found-links")
     a, b = (sets.select(F.col("short").alias(x), F.col("key").alias(f"{x}_key")) for x in ("a", "b"))
     links = stored(found_links.join(a, "a").join(b, "b").select(F.col("a_key").alias("a"), F.col("b_key").alias("b")), "spot-links")
-    release(lengths, likely, found_links)
+    release(likely, in_pairs, found_links)
     roots = stored(connected_components(links).withColumnRenamed("node", "key"), "roots")
     # cells of three and more sets in more than one component; of cells with the same sets one is enough
     named = sets.select("short", "key", "n").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
@@ -495,13 +497,15 @@ def _classes(keyed: DataFrame, make: Prints, least: float, most: int = 1 << 22)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     blocks = left.join(mixed, "cell").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).withColumn("other", other)
     group = F.xxhash64("cell", F.least("block", "other"), F.greatest("block", "other")).alias("group")
-    members = blocks.select(group, "key", "root").join(sketches.select("key", "n", "sketch"), "key").select("group", "key", "root", "n", "sketch")
+    members = blocks.select(group, "key", "root").join(sets.select("key", "n", "sketch"), "key").select("group", "key", "root", "n", "sketch")
     split = members.repartition("group").sortWithinPartitions("group").mapInArrow(_split_groups(least), "part bigint, key string")
     parts = stored(split.distinct(), "parts")
-    release(left, met, sketches)
-    grouped = parts.join(sets.select("key", "spots"), "key").select("part", "key", "spots")
+    release(left, met)
+    in_parts = stored(whole(parts.join(sets, "key").select("short")), "in-parts")
+    release(every, sets)
+    grouped = parts.join(in_parts.select("key", "spots"), "key").select("part", "key", "spots")
     more = stored(grouped.repartition("part").sortWithinPartitions("part").mapInArrow(_link_groups(least), "a string, b string"), "spot-links")
-    release(sets, parts)
+    release(in_parts, parts)
     if not more.isEmpty():
         release(roots)
         roots = stored(connected_components(links.union(more)).withColumnRenamed("node", "key"), "roots")
