@@ -159,13 +159,11 @@ class Items:
         # places of the text and places of the item count once in a band: a text that repeats one q-gram of the
         # item, or an item that repeats one of the text, has few of the other
         code = owner * np.int64(1 << 32) + band
+        if not self._open(*np.unique(code, return_counts=True)).any():
+            return  # not even with all meetings counted
         bands, counts = np.unique(_distinct(code, where), return_counts=True)
         counts = np.minimum(counts, np.unique(_distinct(code, self.place[posting]), return_counts=True)[1])
-        follows = np.append(bands[1:] == bands[:-1] + 1, False)
-        both = counts + np.where(follows, np.append(counts[1:], 0), 0)
-        lead = np.append(False, follows[:-1])  # the band before is there too: then that one's sum has this one
-        need = self.bound[bands >> np.int64(32)]
-        for c in bands[(both >= need) | (lead & (np.append(0, both[:-1]) >= need))]:
+        for c in bands[self._open(bands, counts)]:
             k = int(c >> np.int64(32))
             budget, item = int(self.budget[k]), self.points[k]
             start = int(c & np.int64(0xFFFFFFFF)) * (budget + 1) - self.longest
@@ -176,6 +174,14 @@ class Items:
                     _, begin = banded_distance(item[::-1], points[low : low + end][::-1], budget)
                     found.setdefault((k, offset + low + end - begin), (offset + low + end, edits))
 
+    def _open(self, bands: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Which bands meet the bound, together with a neighbour."""
+        follows = np.append(bands[1:] == bands[:-1] + 1, False)
+        both = counts + np.where(follows, np.append(counts[1:], 0), 0)
+        lead = np.append(False, follows[:-1])  # the band before is there too: then that one's sum has this one
+        need = self.bound[bands >> np.int64(32)]
+        return (both >= need) | (lead & (np.append(0, both[:-1]) >= need))
+
     def _apart(self, found: dict) -> list[tuple[int, int, int, int]]:
         out: list[tuple[int, int, int, int]] = []
         last: dict[int, int] = {}
