@@ -27,9 +27,10 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, by likeness 0.8 of their sets of five-word shingles, one document goes on:
-    the one with the smallest id (null last)."""
-    return similar.keep_one(docs)
+    """Of each group of near-duplicates one document goes on: the one with the smallest id (null last). Links are SimHash
+    fingerprints (those of op2) within three bits and, for texts too unlike for that, likeness 0.8 of their sets of
+    five-word shingles."""
+    return similar.keep_one(docs, distance=3, least=0.8)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

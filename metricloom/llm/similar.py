@@ -1,4 +1,7 @@
-"""Near-duplicates by the Jaccard likeness of word shingles, for texts too unlike for SimHash's three bits.
+"""Near-duplicates by SimHash fingerprints and by the Jaccard likeness of word shingles.
+
+Texts whose fingerprints (see :mod:`metricloom.llm.simhash`) are within three bits link, and so do those too unlike
+for that whose likeness is high enough; a group is what links of either kind connect. The rest is on the likeness.
 
 Each text is the set of its shingles' hashes (32 bits); equal sets are one from the start. Candidates meet
 in cells: a cell is ``width`` minima of the set under as many permutations, and each set has ``bands`` of
@@ -33,6 +36,7 @@ from pyspark.sql import functions as F
 from metricloom.llm.common import arrow_schema, blobs, ddl, release, slices, stored, words
 from metricloom.llm.components import connected_components
 from metricloom.llm.keeping import PLACE, first_of, one_of_each, placed
+from metricloom.llm.simhash import fingerprint, near_links
 
 CHUNK = 1 << 12
 
@@ -65,13 +69,16 @@ class Bands:
 
 
 def _keyed(shingle: int, bands: Bands, out: pa.Schema):
-    """Rows (text, ...) to rows (key, cells, ...)."""
+    """Rows (text, ...) to rows (key, cells, fp, ...)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = [shingles(x, shingle) for x in blobs(batch.column(0))]
+            texts = blobs(batch.column(0))
+            sets = [shingles(x, shingle) for x in texts]
             keys = pa.array([xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) for x in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([keys, pa.array([bands(x) if len(x) else [] for x in sets], out.field(1).type), *batch.columns[1:]], schema=out)
+            cells = pa.array([bands(x) if len(x) else [] for x in sets], out.field(1).type)
+            fps = pa.array(np.array([fingerprint(x) for x in texts], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([keys, cells, fps, *batch.columns[1:]], schema=out)
 
     return run
 
@@ -188,13 +195,34 @@ def similar_links(own: DataFrame, each: DataFrame, shingle: int, least: float, m
     return roots
 
 
-def keep_one(df: DataFrame, shingle: int = 5, least: float = 0.8, most: int = 1 << 21, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df``, with all their columns, of which each group that links of likeness ``least`` connect
-    keeps one: the one with the smallest id (null last), then the first in the files."""
+def joined_roots(prints: DataFrame, alike: DataFrame, near: DataFrame) -> DataFrame:
+    """``node`` and ``root`` of the keys that are linked, by ``alike(node, root)`` of keys, by ``near(node, root)`` of
+    fingerprints or by equal fingerprints, in any mix. ``prints(key, fp)`` are the fingerprints of each key's texts."""
+    by_key, by_fp = alike.select(F.col("node").alias("key"), "root"), near.select(F.col("node").alias("fp"), F.col("root").alias("near"))
+    held = prints.join(by_key, "key", "left").join(by_fp, "fp", "left")
+    pairs = stored(held.select(F.coalesce("root", "key").alias("a"), F.coalesce("near", "fp").alias("fp")).distinct(), "joined")
+    low = pairs.groupBy("fp").agg(F.min("a").alias("b"), F.max("a").alias("last")).where("b <> last").select("fp", "b")
+    higher = stored(connected_components(pairs.join(low, "fp").select("a", "b")), "joined-roots")
+    release(pairs)
+    moved = by_key.join(higher.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select(F.col("key").alias("node"), F.coalesce("top", "root").alias("root"))
+    return moved.unionByName(higher.join(alike, "node", "left_anti").select("node", "root"))
+
+
+def keep_one(df: DataFrame, shingle: int = 5, least: float = 0.8, most: int = 1 << 21, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", distance: int = 3) -> DataFrame:
+    """The rows of ``df``, with all their columns, of which each group keeps one: the one with the smallest id (null
+    last), then the first in the files. Groups are what links of SimHash fingerprints within ``distance`` bits and links
+    of likeness ``least`` connect."""
     own = placed(df)
-    schema = ddl("key long, cells array<bigint>")
+    schema = ddl("key long, cells array<bigint>, fp long")
     for c in (id_col, *PLACE):
         schema = schema.add(df.schema[c] if c == id_col else own.schema[c])
     docs = own.select(text_col, id_col, *PLACE).mapInArrow(_keyed(shingle, Bands(seed=seed), arrow_schema(schema)), schema)
-    each = stored(docs.groupBy("key").agg(first_of(id_col).alias("first"), F.any_value("cells").alias("cells")).select("key", "first.none", "first", "cells"), "sets")
-    return one_of_each(own, each, similar_links(own, each, shingle, least, most, text_col), "key")
+    once = [first_of(id_col).alias("first"), F.any_value("cells").alias("cells")]
+    every = stored(docs.groupBy("key", "fp").agg(*once), "prints")
+    again = [F.min("first").alias("first"), F.any_value("cells").alias("cells")]
+    each = stored(every.groupBy("key").agg(*again).select("key", "first.none", "first", "cells"), "sets")
+    prints = stored(every.select("key", "fp"), "keyed-prints")
+    release(every)
+    near = stored(connected_components(near_links(prints.select("fp").distinct(), distance)), "near-roots")
+    alike = similar_links(own, each, shingle, least, most, text_col)
+    return one_of_each(own, each, stored(joined_roots(prints, alike, near), "roots"), "key")

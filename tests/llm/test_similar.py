@@ -45,6 +45,43 @@ def test_stage_finds_copies_of_likeness_08_that_simhash_keeps(spark, tmp_path):
     assert sorted(r.doc_id for r in got) == sorted(want)
 
 
+def test_stage_links_by_fingerprints_by_likeness_and_by_both(spark, tmp_path):
+    rng = random.Random(8)
+    again = f"{words_of(rng, 9)} " * 60
+    long = words_of(rng, 400).split()
+    like = lambda t, k: " ".join(f"x{i}" if i in range(5, 400, 400 // k) else w for i, w in enumerate(t))
+    tail = words_of(rng, 12)
+    docs = [(1, f"{again}{tail}"), (2, f"{again}{words_of(rng, 12)}"), (3, again)]  # one fingerprint or nearly, sets unlike
+    docs += [(11, " ".join(long)), (12, like(long, 8)), (13, f"{words_of(rng, 3)} {like(long, 8)}")]  # alike sets
+    base = words_of(rng, 300)
+    docs += [(22, base), (21, f"{base} {base}"), (23, like(base.split(), 8)), (24, words_of(rng, 60))]
+    docs += [(31, None), (None, ""), (32, f"{again}{tail}"), (33, words_of(rng, 60))]
+    sets, fps = {d: grams(t) for d, t in docs}, {d: brute_print(t) for d, t in docs}
+    ids = sorted(d for d, _ in docs if d is not None)
+    near = {(a, b) for a in ids for b in ids if a < b and (fps[a] ^ fps[b]).bit_count() <= 3}
+    alike = {(a, b) for a in ids for b in ids if a < b and jaccard(sets[a], sets[b]) >= 0.8}
+    want = set(brute_roots(ids, near | alike).values())
+    assert near - alike and alike - near
+    assert want != set(brute_roots(ids, near).values()) and want != set(brute_roots(ids, alike).values())
+    documents(spark, docs).write.parquet(f"{tmp_path}/d")
+    got = corpus_pipeline.drop_near_duplicates(spark, spark.read.parquet(f"{tmp_path}/d"), "").collect()
+    assert sorted(r.doc_id for r in got) == sorted(want)
+
+
+def test_roots_of_keys_that_fingerprints_join(spark):
+    rng = random.Random(4)
+    keys, fps = range(60), range(100, 150)
+    prints = sorted({(rng.choice(keys), rng.choice(fps)) for _ in range(35)} | {(k, 200 + k) for k in keys})
+    key_links = [(rng.choice(keys), rng.choice(keys)) for _ in range(8)]
+    fp_links = [(200 + rng.choice(keys), rng.choice(fps)) for _ in range(8)]
+    tables = [spark.createDataFrame(x, "a long, b long") for x in (key_links, fp_links)]
+    roots = similar.joined_roots(spark.createDataFrame(prints, "key long, fp long"), *map(similar.connected_components, tables))
+    got = {k: k for k in keys} | {r.node: r.root for r in roots.collect()}
+    want = brute_roots([*keys, *range(100, 260)], [*prints, *key_links, *fp_links])
+    assert {(a, b) for a in keys for b in keys if got[a] == got[b]} == {(a, b) for a in keys for b in keys if want[a] == want[b]}
+    assert len(set(got.values())) < 40
+
+
 def test_forest_connects_what_pairs_do():
     sets = [np.array(sorted({hash(g) & 0xFFFFFFFF for g in grams(t)}), np.uint32) for _, t in cases() if t]
     near = [(i, j) for i in range(len(sets)) for j in range(i) if jaccard(set(sets[i].tolist()), set(sets[j].tolist())) >= 0.8]
