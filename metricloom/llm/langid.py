@@ -39,7 +39,7 @@ from metricloom.llm.common import arrow_schema, documents, id_crc, slices, store
 SIZE = 1 << 14
 _LETTERS = re.compile(r"[^\W\d_]+")
 _NO_LETTERS = {c: " " for c in range(128, sys.maxunicode + 1) if (x := chr(c)).isalnum() and not x.isalpha()}  # digits, fractions, numerals
-_ODD = re.compile("[" + "".join(map(chr, _NO_LETTERS)) + "]")
+_ODD = frozenset(map(chr, _NO_LETTERS))
 _MIX = np.uint32(2654435761)
 _CHUNK = 1 << 20
 
@@ -47,7 +47,8 @@ _CHUNK = 1 << 20
 def gram_counts(text: str | None) -> np.ndarray | None:
     """Counts by feature; None if there is no letter."""
     text = (text or "").lower()
-    found = _LETTERS.findall(text.translate(_NO_LETTERS) if not text.isascii() and _ODD.search(text) else text)
+    odd = not text.isascii() and not _ODD.isdisjoint(set(text))  # a set, as a regex of so many characters takes most of the time
+    found = _LETTERS.findall(text.translate(_NO_LETTERS) if odd else text)
     if not found:
         return None
     data = np.frombuffer(f" {' '.join(found)} ".encode("utf-8", "replace"), np.uint8)

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 
@@ -80,3 +81,16 @@ def test_letters_are_of_category_l_and_long_texts_are_whole():
     assert (langid.gram_counts("aⅧb½é") == langid.gram_counts("A B É")).all()
     one, n = langid.gram_counts("the of "), 400_000
     assert langid.gram_counts("the of " * n)[ord("t")] == n * one[ord("t")]
+
+
+def test_a_letter_beyond_ascii_does_not_multiply_the_time():
+    def seconds(text):
+        runs = []
+        for _ in range(5):
+            start = time.process_time()
+            langid.gram_counts(text)
+            runs.append(time.process_time() - start)
+        return min(runs)
+
+    text = "the of and with " * 20_000
+    assert seconds(f"{text}é") < 2.5 * seconds(f"{text}e")
