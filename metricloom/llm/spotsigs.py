@@ -443,6 +443,15 @@ def _link_groups(least: float):
     return run
 
 
+def marked(rows: DataFrame, needed: DataFrame) -> DataFrame:
+    """Of ``rows`` all whose ``short`` is in ``needed`` and few others, without a shuffle of them. The numbers are hashes, and
+    their first bits are looked up in 2^24 bits, which all tasks know as 2^18 rows at most."""
+    word, bit = F.shiftrightunsigned("short", 64 - BUCKET_BITS), F.shiftrightunsigned("short", 64 - BUCKET_BITS - 6).bitwiseAND(63).cast("int")
+    bits = needed.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
+    held = rows.withColumn("word", word).join(F.broadcast(bits), "word")
+    return held.where(F.call_function("getbit", "bits", bit) == 1).select(rows.columns)
+
+
 def _classes(keyed: DataFrame, make: Prints, least: float, most: int = 1 << 22) -> tuple[DataFrame, DataFrame]:
     """Of rows (id, h, text) the stored tables (id, h, key), with a row for each, and (key, class_id)."""
     if not 0 < least <= 1:
@@ -470,7 +479,7 @@ def _classes(keyed: DataFrame, make: Prints, least: float, most: int = 1 << 22)
 
     def whole(needed: DataFrame) -> DataFrame:
         """The spots of the sets with these ``short``, each set once."""
-        own = some.select("short", "key", "n", "spots").join(needed.distinct(), "short", "left_semi")
+        own = marked(some.select("short", "key", "n", "spots"), needed).join(needed.distinct(), "short")
         return own.groupBy("short", F.hex("key").alias("key")).agg(F.any_value("n").alias("n"), F.any_value("spots").alias("spots"))
 
     def joined(pairs: DataFrame, side: DataFrame, name: str) -> DataFrame:

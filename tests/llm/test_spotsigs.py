@@ -155,3 +155,46 @@ def test_sketches_part_what_is_unlike_and_nothing_else():
         assert least < 0.8 or all(i // 4 == j // 4 for p in parts for i in p for j in p if len(sets[i]) > 50)
     x = sets[-1]
     assert (spotsigs.folded(spotsigs.sketch(x), 16) == np.packbits(np.bincount((x & np.uint64(127)).astype(int), minlength=128) % 2 == 1)).all()
+
+
+def shuffled(spark):
+    """Bytes written to shuffles so far."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_sets_that_no_pair_needs_are_not_shuffled(spark, monkeypatch):
+    """Also where joins are too large to broadcast."""
+    rng = random.Random(3)
+    texts = [words_of(rng, 900, 10**6) for _ in range(150)]
+    docs = [*texts, f"{texts[0]} more", f"more {texts[1]}"]
+    written, stored = {}, spotsigs.stored
+
+    def counted(df, name):
+        before = shuffled(spark)
+        out = stored(df, name)
+        written[name] = shuffled(spark) - before
+        return out
+
+    monkeypatch.setattr(spotsigs, "stored", counted)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r.doc_id: r.class_id for r in spotsigs.spot_classes(documents(spark, list(enumerate(docs)))).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == {i: {150: 0, 151: 1}.get(i, i) for i in range(152)}
+    make = spotsigs.Prints()
+    assert 0 < written["in-pairs"] < sum(len(make(t.encode())) * 8 for t in texts) / 4
+
+
+def test_marked_keeps_all_needed_and_few_others(spark):
+    rng = random.Random(6)
+    numbers = [rng.randrange(-(1 << 63), 1 << 63) for _ in range(20_000)] + [-1, 0, 1, (1 << 63) - 1, -(1 << 63)]
+    rows, needed = spark.createDataFrame([(x, "r") for x in numbers], "short long, other string"), set(rng.sample(numbers, 3000)) | set(numbers[-5:])
+    got = spotsigs.marked(rows, spark.createDataFrame([(x,) for x in needed], "short long"))
+    assert got.columns == rows.columns
+    kept = [r.short for r in got.collect()]
+    assert needed <= set(kept) and len(kept) == len(set(kept)) < len(needed) + 100
