@@ -6,6 +6,7 @@ from __future__ import annotations
 import operator
 import re
 from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 from typing import TYPE_CHECKING, Any
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from metricloom.names import SUBQUERY, path_to_alias, quoted
 from metricloom.operators.filters import condition
 from metricloom.plans.evaluation import Evaluation, Input
-from metricloom.plans.joins import JoinStep
+from metricloom.plans.joins import JoinStep, counts_rows
 from metricloom.plans.planner import QueryPlan, Segment, plan_query
 
 if TYPE_CHECKING:
@@ -44,6 +45,27 @@ def equal_columns(on: Column, left: str, right: str) -> list[tuple[str, str]] |
     return pairs
 
 
+_NOT_COMPARED = re.compile(r"\b(map|variant|collate)\b")
+
+Columns = frozenset[tuple[str, str]]  # (model, column)
+
+
+@dataclass(frozen=True)
+class Reads:
+    """What a segment whose repeated rows don't count reads: the columns above all joins, those in the condition of each
+    join, and those of each model's primary key (no entry if it has none)."""
+
+    steps: Sequence[JoinStep]
+    above: Columns
+    conditions: dict[frozenset[str], Columns]
+    keys: dict[str, Columns]
+
+    def outside(self, inside: set[str]) -> Columns:
+        """Columns of the joined models ``inside`` that anything but the joins between them reads."""
+        read = self.above.union(*(c for pair, c in self.conditions.items() if not pair <= inside))
+        return frozenset(c for c in read if c[0] in inside)
+
+
 class Lowering:
     """One query's way to a DataFrame; filters get it as their context."""
 
@@ -95,14 +117,12 @@ class Lowering:
         return df
 
     def _segment(self, s: Segment) -> DataFrame:
-        inputs: list[Input] = []
+        inputs = self._inputs(s)
         aggregates: list[Column] = []
         plain = True  # no duplicate row changes a result
         for path in s.segment_query.metrics:
             metric = self.repository.metric(path)
-            found = self.evaluation.metric(metric)
-            inputs += found.inputs
-            aggregates.append(found.column.alias(metric.alias))
+            aggregates.append(self.evaluation.metric(metric).column.alias(metric.alias))
             plain &= metric.ignores_duplicates
         rows = self._rows(s)
         keys = [path_to_alias(p) for p in s.segment_query.dimensions]
@@ -122,6 +142,9 @@ class Lowering:
         shown = [*map(path_to_alias, s.segment_query.members)]
         return grouped.agg(*aggregates).select(*(F.col(quoted(c)) for c in shown))
 
+    def _inputs(self, s: Segment) -> list[Input]:
+        return [i for path in s.segment_query.metrics for i in self.evaluation.metric(self.repository.metric(path)).inputs]
+
     def _dimensions(self, paths: Iterable[str]) -> list[tuple[str, Column]]:
         found = [self.repository.dimension(p) for p in paths]
         return [(d.alias, self.evaluation.dimension(d).column) for d in found]
@@ -131,29 +154,89 @@ class Lowering:
             self._sources[name] = self.repository.model(name).read(self.spark, self.context)
         return self._sources[name]
 
-    def _tree(self, root: str, steps: Sequence[JoinStep]) -> DataFrame:
+    def _tree(self, root: str, steps: Sequence[JoinStep], reads: Reads | None = None) -> DataFrame:
         """Models joined step by step. Where a step keeps the rows of its right model, and its condition is false
         for nulls, all that hangs on that model is joined to it first: (a RIGHT b) then c is a RIGHT (b then c). So
         a fact table is shuffled by its own keys, of which there are many, and not by those of small tables
-        beyond."""
-        df, whole, at = self._source(root), True, 0
+        beyond. With ``reads`` repeated rows don't count, and models, and what hangs on a step that multiplies rows, are
+        made distinct before they are joined."""
+        df, whole, at = self._fewer(self._source(root), {root}, reads), True, 0
         while at < len(steps):
             step = steps[at]
             on = self.evaluation.condition(step.left, step.right)
             at += 1
-            keys = equal_columns(on, step.left, step.right) if step.how == "right" else None
-            if keys is None:
-                df = df.join(self._source(step.right), on, step.how)
-                whole &= step.how == "left"
-                continue
             inside, end = {step.right}, at
             while end < len(steps) and steps[end].left in inside:
                 inside.add(steps[end].right)
                 end += 1
-            df = self._right(df, self._tree(step.right, steps[at:end]), on, keys, root if whole and step.left == root else None)
-            whole, at = False, end
+            keys = equal_columns(on, step.left, step.right) if step.how == "right" else None
+            multiplies = reads is not None and self.repository.joins[step.left, step.right].multiplies
+            if keys is None and not (multiplies and self._first(step.how, steps[at:end])):
+                df = df.join(self._fewer(self._source(step.right), {step.right}, reads), on, step.how)
+                whole &= step.how == "left"
+                continue
+            right = self._tree(step.right, steps[at:end], reads)
+            if multiplies and end > at:
+                right = self._fewer(right, inside, reads)
+            if keys is None:
+                df = df.join(right, on, step.how)
+                whole &= step.how == "left"
+            else:
+                df = self._right(df, right, on, keys, root if whole and step.left == root else None)
+                whole = False
+            at = end
         return df
 
+    def _first(self, how: str, steps: Sequence[JoinStep]) -> bool:
+        """Whether (a LEFT b) or (a INNER b), then ``steps`` that hang on b, is a LEFT or INNER (b then ``steps``)."""
+        if how == "left":
+            return all(s.how == "left" and equal_columns(self.evaluation.condition(s.left, s.right), s.left, s.right) for s in steps)
+        return how == "inner" and all(s.how in ("left", "inner") for s in steps)
+
+    def _fewer(self, df: DataFrame, inside: set[str], reads: Reads | None) -> DataFrame:
+        """The distinct rows of what is read of the joined models ``inside``; as they are where a key among it says that no
+        row is repeated, or where rows can't be compared."""
+        if reads is None or not (columns := reads.outside(inside)):
+            return df
+        counted = counts_rows(self.repository.joins, reads.steps, inside)
+        if all(m in reads.keys and reads.keys[m] <= columns for m in ([counted] if counted else inside)):
+            return df
+        narrow = df.select(*(F.col(quoted(*c)) for c in sorted(columns)))
+        return df if any(_NOT_COMPARED.search(f.dataType.simpleString()) for f in narrow.schema.fields) else narrow.distinct()
+
+    def _reads(self, s: Segment) -> Reads | None:
+        """None where joined rows are no more than the tables' own, where they must not be made fewer, and where the session
+        doesn't tell what is read (Spark Connect)."""
+        plan = s.join_plan
+        if not plan or not plan.multiplies_rows or not hasattr(self._source(plan.initial), "_jdf"):
+            return None
+        models = [plan.initial, *(step.right for step in plan.steps)]
+        if counts_rows(self.repository.joins, plan.steps, models):
+            return None
+        # the joins' conditions left out, so that only what is above them reads
+        all_rows = self._met(s, reduce(DataFrame.crossJoin, map(self._source, models)))
+        above = all_rows.select(*(c for _, c in self._dimensions(s.model_query.dimensions)), *(i.column for i in self._inputs(s)))
+        joined = {frozenset((j.left, j.right)): self._source(j.left).join(self._source(j.right), self.evaluation.condition(j.left, j.right)) for j in plan.steps}
+        if not all(df._jdf.queryExecution().analyzed().deterministic() for df in (above, *joined.values())):
+            return None
+        keys = {m: self._source(m).select(*(self.evaluation.dimension(d).column for d in self.repository.model(m).primary_key)) for m in models if self.repository.model(m).primary_key}
+        read = lambda df: self._read(df, {*models})
+        return Reads(plan.steps, read(above), {pair: read(df) for pair, df in joined.items()}, {m: read(df) for m, df in keys.items()})
+
+    def _read(self, df: DataFrame, models: set[str]) -> Columns:
+        """The models' columns that the analyzed plan refers to, down to where the models begin."""
+        found, todo = set(), [df._jdf.queryExecution().analyzed()]
+        while todo:
+            node = todo.pop()
+            if node.nodeName() == "SubqueryAlias" and node.alias() in (*models, SUBQUERY):
+                continue
+            refs, children = node.references().toSeq(), node.children()
+            for a in (refs.apply(k) for k in range(refs.size())):
+                if a.qualifier().size() and a.qualifier().last() in models:
+                    found.add((a.qualifier().last(), a.name()))
+            todo += [children.apply(k) for k in range(children.size())]
+        return frozenset(found)
+
     def _right(self, df: DataFrame, right: DataFrame, on: Column, keys: list[tuple[str, str]], root: str | None) -> DataFrame:
         """A right outer join can't broadcast the side that it keeps. Where that side is small and the other one
         is not, it is an inner join, which can, and the kept side's rows without partner, which are found
@@ -174,9 +257,9 @@ class Lowering:
 
     def _rows(self, s: Segment) -> DataFrame:
         """All models joined, with the values of referenced metrics, and filtered."""
-        df = None
-        if s.join_plan:
-            df = self._tree(s.join_plan.initial, s.join_plan.steps)
+        return self._met(s, self._tree(s.join_plan.initial, s.join_plan.steps, self._reads(s)) if s.join_plan else None)
+
+    def _met(self, s: Segment, df: DataFrame | None) -> DataFrame:
         if s.metric_refs:
             sub = self.query(s.metric_refs.plan, ordered=False).alias(SUBQUERY)
             if df is None:
