@@ -23,7 +23,7 @@ def joined_rows(builder, query):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the tables are not here")
-@pytest.mark.parametrize("name", ["join_many_to_many"])
+@pytest.mark.parametrize("name", ["join_many_to_many", "join_priority_path"])
 def test_suppliers_meet_distinct_customers(spark, name):
     entry = ENTRIES[name]
     got = joined_rows(entry.repository(SF).build(spark), entry.query).count()
